@@ -26,6 +26,18 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """doc_id, text and the label (as `label`) of about max_rows labelled documents that are not held out.
+
+    They are picked by a hash of the id; the sample is small by construction and is sent to the scan.
+    """
+    mine = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    n = mine.count()
+    dice = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
+    picked = mine.where(dice < min(1.0, max_rows / max(n, 1)))
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
