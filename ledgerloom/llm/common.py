@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,11 +49,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it again: cuts lineage, and a lost executor costs no recomputation."""
+    """Write df once to the shared folder and read it again: cuts lineage, and a lost executor costs no recomputation.
+
+    Shuffle files of what has been written are no longer needed; Spark removes them when the driver's garbage
+    collection finds their owners gone, so it is asked to run.
+    """
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     schema = df.schema
+    spark = df.sparkSession
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:

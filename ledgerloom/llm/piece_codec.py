@@ -41,7 +41,7 @@ def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
     size = 2 * len(tree) + 1024
     base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
     free = np.ones(size, bool)
-    free[0], low = False, 1
+    free[:257], low, top = False, 257, 257
     queue = [(0, 0)]
     for node, at in queue:
         if node in ends:
@@ -49,16 +49,17 @@ def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
         if not (kids := tree[node]):
             continue
         codes = np.array(list(kids), np.int64)
-        b = max(low - int(codes.min()), 1)
+        b = low - int(codes[0]) if len(kids) == 1 else max(top - 1024, 1)  # one child fills a gap, several go near the end
         while True:
-            if b + 512 >= len(free):
+            if b + 1024 >= len(free):
                 free = np.append(free, np.ones(size, bool))
                 base, check, value = np.append(base, np.zeros(size, np.int32)), np.append(check, np.full(size, -1, np.int32)), np.append(value, np.full(size, -1, np.int32))
-            ok = free[codes[None, :] + np.arange(b, b + 256)[:, None]].all(1) if len(free) > b + 512 else np.zeros(1, bool)
+            ok = free[codes[None, :] + np.arange(b, b + 256)[:, None]].all(1)
             if ok.any():
                 b += int(ok.argmax())
                 break
             b += 256
+        top = max(top, b + int(codes.max()))
         base[at] = b
         free[b + codes] = False
         check[b + codes] = at
@@ -149,14 +150,28 @@ class Vocabulary:
                 up = new > best[bare, to]
                 bare, to = bare[up], to[up]
                 best[bare, to], piece[bare, to], since[bare, to] = new[up], -1, s
+        # All words are followed back together, from their ends; -1 stands for a character that falls back to bytes.
+        place, steps = lengths.copy(), []
+        rows = np.arange(len(words))
+        while len(rows):
+            at = place[rows]
+            steps.append((rows, piece[rows, at], since[rows, at], at))
+            place[rows] = since[rows, at]
+            rows = rows[place[rows] > 0]
+        order = np.concatenate([x[0] for x in steps[::-1]])
+        order_by = np.argsort(order, kind="stable")
+        ids, start, stop = (np.concatenate([x[k] for x in steps[::-1]])[order_by] for k in (1, 2, 3))
+        bounds = np.searchsorted(order[order_by], np.arange(len(words) + 1)).tolist()
+        raw, bare_words = ids.astype("<u4").tobytes(), set(order[order_by][ids < 0].tolist())
         for i, w in enumerate(words):
-            ids, at = [], len(w)
-            while at > 0:
-                s = int(since[i, at])
-                p = int(piece[i, at])
-                ids += [p] if p >= 0 else [int(self.byte_ids[c]) for c in reversed(w[s:at])]
-                at = s
-            yield np.array(ids[::-1], "<u4").tobytes()
+            a, b = bounds[i], bounds[i + 1]
+            if i not in bare_words:
+                yield raw[4 * a : 4 * b]
+                continue
+            own: list[int] = []
+            for k in range(a, b):
+                own += [int(ids[k])] if ids[k] >= 0 else [int(self.byte_ids[c]) for c in w[start[k] : stop[k]]]
+            yield np.array(own, "<u4").tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that form no character become U+FFFD. The blank put before a text goes."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, packing, pii, piece_codec, quality_pu, quality_rules, toxicity
+from . import exact_dedup, jaccard_join, language_id, packing, pii, piece_codec, quality_pu, quality_rules, substring_dedup, toxicity
 from .common import read
 
 
@@ -33,15 +33,23 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.drop_long_repeats(read(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_exact_dedup, op4_quality_pu, op5_quality_rules, op6_piece_codec, op8_pii, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_exact_dedup, op4_quality_pu, op5_quality_rules, op6_piece_codec, op7_substring_dedup, op8_pii, op9_jaccard_join, op10_toxicity)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
