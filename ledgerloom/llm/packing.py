@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,36 +25,62 @@ _OUT = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_cr
 _TOKENIZERS: dict = {}
 
 
+# The words for which the normaliser and the pre-tokenizer do no more than these two: Latin-1 without blanks,
+# controls and the digits above 9, and without the strings of special tokens. Others go to the tokenizer whole.
+_SIMPLE = re.compile(r"(?!.*<\|)[\x21-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]*", re.S)
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9]|[^a-zªµºß-öø-ÿ0-9]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if it prints, else the next from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(rest)) for b in range(256)}
+
+
 class WordCache:
-    """Ids of texts, remembered by word: no token of the vocabulary spans white space.
+    """Ids of texts, remembered by word and by part of a word: no token of the vocabulary spans white space.
 
-    Words are cut at ASCII white space only; what lies between, the tokenizer itself sees. The memory is
-    bounded: beyond max_words the table is emptied.
+    Words are cut at ASCII white space only. The memory is bounded: beyond max_words a table is emptied.
     """
 
     def __init__(self, path: str, max_words: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.max_words, self.ids = Tokenizer.from_file(path), max_words, {}
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        words = text.encode().split()
-        try:
-            return b"".join(map(self.ids.__getitem__, words))
-        except KeyError:
-            if len(self.ids) > self.max_words:
-                self.ids.clear()
-            new = list(set(words) - self.ids.keys())
-            for i in range(0, len(new), 10_000):
-                part = new[i : i + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self.ids[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(self.ids.__getitem__, words))
-
-
-def tokenizer(path: str, max_words: int = 400_000) -> WordCache:
+        self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
+        self.ids: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) > self.max_words:
+                self.parts.clear()
+            spelt = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+            found = self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
+        return found
+
+    def word(self, word: str) -> bytes:
+        """The ids of one word as little-endian unsigned 32-bit numbers."""
+        if _SIMPLE.fullmatch(word):
+            return b"".join(map(self._part, _PARTS.findall(word.lower())))
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        split = [t.encode().split() for t in texts]
+        if len(self.ids) > self.max_words:
+            self.ids.clear()
+        for w in set().union(*split):
+            if w not in self.ids:
+                self.ids[w] = self.word(w.decode())
+        for words in split:
+            yield b"".join(map(self.ids.__getitem__, words))
+
+
+def tokenizer(path: str, max_words: int = 300_000) -> WordCache:
     """One per Python worker."""
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordCache(path, max_words)
@@ -122,8 +149,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for start, texts in text_slices(batch):
-                for i, t in enumerate(texts):
-                    ids.append(words.encode(t) + end)
+                for i, found in enumerate(words.encode(texts)):
+                    ids.append(found + end)
                     names.append(doc_ids[start + i])
                     held += len(ids[-1]) // 4
                     if held >= block_tokens:
