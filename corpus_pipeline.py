@@ -7,9 +7,8 @@ next stage's docs. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, language_id
+from ledgerloom.llm import exact_dedup, jaccard_join, language_id, packing, pii
 from ledgerloom.llm.common import held_out, read, written
 
 
@@ -20,10 +19,32 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each distinct content, white space aside."""
     return exact_dedup.keep_first_copies(docs)
 
 
-STAGES = [("language_id", known_language), ("exact_dedup", one_of_each_content)]
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that the n-gram Jaccard join links."""
+    return jaccard_join.keep_one_of_each_class(docs)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with personal data replaced by the name of its kind."""
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("exact_dedup", one_of_each_content),
+    ("jaccard_join", one_of_each_class),
+    ("pii", without_personal_data),
+    ("packing", packed),
+]
 
 #: Naive Bayes and the join can't be stated in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None

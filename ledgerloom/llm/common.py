@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import shared_dir, written  # noqa: F401
+
 #: Characters that separate words: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -39,31 +38,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it again: cuts lineage, and a lost executor costs no recomputation.
-
-    Shuffle files of what has been written are no longer needed; Spark removes them when the driver's garbage
-    collection finds their owners gone, so it is asked to run.
-    """
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    schema = df.schema
-    spark = df.sparkSession
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
-
-
 def text_slices(batch: pa.RecordBatch, column: str = "text", chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of slices of a batch with about `chars` characters each; null becomes ''.
 

@@ -145,7 +145,7 @@ def language_id(docs: DataFrame, **parameters) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_recognised(docs: DataFrame, model: dict, min_score: float = 0.5) -> DataFrame:
+def keep_recognised(docs: DataFrame, model: dict, min_score: float = 0.0) -> DataFrame:
     """The rows of docs, all columns, whose language is recognised with a score of at least min_score.
 
     It filters in one pass over the rows, without a join.

@@ -194,7 +194,7 @@ class Encoder:
         words = [_SEGMENT.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         if len(self.ids) > self.max_words:
             self.ids.clear()
-        new = list(set().union(*words) - self.ids.keys())
+        new = [w for w in set().union(*words) if w not in self.ids]
         for w, ids in zip(new, self.vocabulary.viterbi([w.encode() for w in new]), strict=True):
             self.ids[w] = ids
         return [b"".join(map(self.ids.__getitem__, w)) for w in words]
