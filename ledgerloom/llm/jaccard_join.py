@@ -293,4 +293,4 @@ def keep_one_of_each_class(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs, all columns, of which doc_id is the class_id: one document of each group of linked ones."""
     joined = jaccard_join(docs, **parameters)
     gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")

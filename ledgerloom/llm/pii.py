@@ -155,9 +155,12 @@ def find_personal_data(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def redact(docs: DataFrame, **parameters) -> DataFrame:
-    """docs with each span replaced by [KIND]; of overlapping spans the first counts, and n_chars follows the text."""
-    keep = docs.columns
-    found = personal_spans(docs, *keep, **parameters)
+    """docs, all columns, with each span replaced by [KIND]; of overlapping spans the first counts.
+
+    n_chars, where docs has it, follows the text. Null texts stay null.
+    """
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    found = personal_spans(rows, "text", "_row", **parameters)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     cover = F.aggregate(
         "spans",
@@ -166,12 +169,15 @@ def redact(docs: DataFrame, **parameters) -> DataFrame:
     )
 
     def cut(c: Column) -> Column:
-        piece = lambda s, i: F.concat(F.substring("text", (F.coalesce(F.when(i > 0, F.get(c, i - 1)["end"]), F.lit(0)) + 1).cast("int"), (s["start"] - F.coalesce(F.when(i > 0, F.get(c, i - 1)["end"]), F.lit(0))).cast("int")), F.get(names, s["kind"]))
+        def piece(s: Column, i: Column) -> Column:
+            since = F.when(i > 0, F.get(c, i - 1)["end"]).otherwise(0)
+            return F.concat(F.substring("text", (since + 1).cast("int"), (s["start"] - since).cast("int")), F.get(names, s["kind"]))
+
         tail = F.substring(F.col("text"), (F.get(c, F.size(c) - 1)["end"] + 1).cast("int"), F.length("text"))
         return F.concat(F.array_join(F.transform(c, piece), ""), tail)
 
-    text = F.when(F.size("spans") > 0, let(cover, cut)).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
-    if "n_chars" in keep:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*keep)
+    some = F.size("spans") > 0
+    new = found.withColumn("_new", F.when(some, let(cover, cut)).otherwise(F.col("text")))
+    kinds = {f.name: f.dataType for f in docs.schema}
+    own = {"text": F.col("_new"), "n_chars": F.when(some, F.length("_new").cast("long")).otherwise(F.col("_row.n_chars").cast("long")) if "n_chars" in kinds else None}
+    return new.select(*((own[c] if c in own else F.col(f"_row.`{c}`")).cast(kinds[c]).alias(c) for c in docs.columns))
