@@ -47,16 +47,21 @@ def difficulty(nbits) -> Column:
 
 
 def block_work(nbits: Column) -> Column:
-    """2**256 div (target + 1) for exponents 20 to 34 as DECIMAL(38,0); null outside, where it wouldn't be exact."""
+    """2**256 div (target + 1) for exponents 20 to 34 as DECIMAL(38,0); null outside, where the formula isn't exact.
+
+    With p = 2**(280 - 8 * exponent) it is p div mantissa, less 1 where the mantissa divides p. Long division
+    over digits of 30 bits keeps every step within 64 bits.
+    """
     mant, exp = nbits.bitwiseAND(0xFFFFFF), F.shiftright(nbits, 24)
-    p = None
-    for e in range(20, 35):  # a fixed table of powers
-        value = F.lit(Decimal(1 << (280 - 8 * e))).cast("decimal(38,0)")
-        p = F.when(exp == e, value) if p is None else p.when(exp == e, value)
-    m = mant.cast("decimal(10,0)")
-    rest = p % m
-    whole = ((p - rest) / m).cast("decimal(38,0)")
-    return F.when(mant > 0, F.when(rest == 0, whole - 1).otherwise(whole)).cast("decimal(38,0)")
+    bit = (280 - 8 * exp).cast("int")
+    rest, work = F.lit(0).cast("long"), F.lit(0).cast("decimal(38,0)")
+    for i in range(4, -1, -1):
+        digit = F.when(div(bit, 30) == i, F.call_function("shiftleft", F.lit(1).cast("long"), bit % 30)).otherwise(0)
+        now = rest * (1 << 30) + digit
+        part = div(now, mant).cast("decimal(10,0)") * F.lit(Decimal(1 << (30 * i))).cast("decimal(38,0)")
+        work = (work + part.cast("decimal(38,0)")).cast("decimal(38,0)")
+        rest = now % mant
+    return F.when((mant > 0) & exp.between(20, 34), F.when(rest == 0, work - 1).otherwise(work)).cast("decimal(38,0)")
 
 
 def money(satoshi: Column) -> Column:
