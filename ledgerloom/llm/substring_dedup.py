@@ -2,11 +2,11 @@
 
 Rounds of naming shorten each document's words: first runs of one word, then pairs, get names that are hashes
 of what they stand for, so equal passages get equal interior symbols everywhere without a dictionary. A
-boundary between symbols that survives all rounds is known by the names next to it, and by how many words
-to either side its survival depends on. Every window of words takes as anchor, among the boundaries whose
-dependence lies inside the window, one of the highest level with the least name; equal windows therefore
-share the anchor and their place relative to it. Spark groups the stretches of windows that have one
-anchor by its name: a name that occurs once settles them as unique. Stretches whose whole contents are equal
+boundary between symbols that survives all rounds depends on a few words to either side. Every window of
+words takes as anchor, among the boundaries whose dependence lies inside the window, one of the highest level
+with the least name of its two symbols; equal windows therefore share the anchor, the words it depends on
+and their place relative to it. Spark groups the stretches of windows that have one anchor by a hash of those
+words: one that occurs once settles them as unique. Stretches whose whole contents are equal
 are repeats; where contents under one name differ, single windows are compared, once per distinct content.
 """
 
@@ -108,7 +108,8 @@ class Parsed:
             some = hi >= lo
             got = _least(name, lo[some], hi[some])
             anchor[open_[some]] = at[got]
-            key[open_[some]] = name[got]
+            own = at[got] - low[got]
+            key[open_[some]] = mix(self.hashes(low[got], high[got]) * _A + (own * 64 + level).astype(np.uint64))
             open_ = open_[~some]
         cut = np.ones(len(start), bool)
         cut[1:] = (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)

@@ -1,6 +1,6 @@
 """A toxicity classifier with a counterfactual penalty.
 
-Logistic regression on the presence of words. For labelled texts that name a group, the terms are swapped
+Logistic regression on the presence of words and word beginnings. For labelled texts that name a group, the terms are swapped
 within their set and the squared change of the score is added to the loss, so that naming a group by
 itself moves no score.
 """
@@ -34,7 +34,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    """The words of a text in lower case and, marked by a hyphen, their first 5, 6 and 7 letters, which inflected forms share."""
+    words = set(_WORD.findall(text.lower()))
+    return words.union(*({w[:n] + "-" for w in words if len(w) > n} for n in (5, 6, 7)))
 
 
 def swapped(words: set[str]) -> set[str] | None:
@@ -65,7 +67,7 @@ def _vocabulary(sample: DataFrame, n_toxic: int, n_clean: int, max_words: int, m
     return sorted({r["word"] for r in rows} | _GROUP.keys())
 
 
-def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, fairness: float = 1.0, l2: float = 2e-3, steps: int = 500, rate: float = 0.1) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, fairness: float = 1.0, l2: float = 1e-4, steps: int = 500, rate: float = 0.1) -> np.ndarray:
     """Weights, bias last, by Adam: log loss with both classes weighing half, fairness * E[(w . change)**2], l2."""
     w = np.zeros(x.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)

@@ -61,14 +61,15 @@ def test_non_negative_risk_finds_negatives():
     assert 0.55 < prior < 0.8
     w = quality_pu.fit(pb, ub, size, 2 / 3)
     g = w[ub].sum(1) + w[-1]
-    assert (g[:2000] > 0).mean() > 0.95 and (g[2000:] < 0).mean() > 0.95
+    assert (g[:2000] > 0).mean() > 0.9 and (g[2000:] < 0).mean() > 0.9
 
 
 def test_rules_on_held_out_rows(tenth):
     docs, labels = tenth
     got = quality_rules.quality_rules(docs.select("doc_id", "text"), labels).join(labels, "doc_id").toPandas()
     held = got[got.doc_id.map(brute.held_out)]
-    assert held.kept[held.quality == 1].mean() > 0.97 and held.kept[held.quality == 0].mean() < 0.3
+    clean = held[(held.quality == 1) & ~held.base_failed]
+    assert clean.kept.mean() > 0.98 and held.kept[held.quality == 0].mean() < 0.2
 
 
 def test_toxicity_on_held_out_rows(tenth):
