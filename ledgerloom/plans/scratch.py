@@ -18,13 +18,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the tables that this application has written, once no result needs them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, release: bool = True) -> DataFrame:
     """Write df once to the shared folder and read it again: cuts lineage, and a lost executor costs no recomputation.
 
     Shuffle files of what has been written are no longer needed; Spark removes them when the driver's garbage
     collection finds their owners gone, so it is asked to run, unless the tables are small.
     """
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     schema = df.schema
     spark = df.sparkSession
     df.write.parquet(path)
