@@ -58,21 +58,19 @@ def _is_letter(points: np.ndarray) -> np.ndarray:
 
 
 def _counts(languages: list[str], bits: int):
+    """Rows (lang, bucket, n) of what a task has seen; lang is a place in languages."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), 1 << bits), np.int64)
         number = {x: i for i, x in enumerate(languages)}
-        docs = np.zeros(len(languages), np.int64)
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for start, texts in text_slices(batch):
-                for i, t in enumerate(texts):
-                    docs[number[langs[start + i]]] += 1
                 for h, (first, last) in grams(texts, bits):
                     for i in range(len(texts)):
                         total[number[langs[start + i]]] += np.bincount(h[first[i] : last[i]], minlength=1 << bits)
-        for i, x in enumerate(languages):
-            if docs[i]:
-                yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([int(docs[i])], pa.int64()), pa.array([total[i].astype("<i8").tobytes()], pa.binary())], names=["lang", "docs", "counts"])
+        lang, bucket = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], names=["lang", "bucket", "n"])
 
     return run
 
@@ -92,12 +90,10 @@ def train(labelled: DataFrame, bits: int = 16, docs_per_language: int = 4000, al
     languages = sorted(sizes)
     share = F.create_map(*[F.lit(v) for x in languages for v in (x, min(1.0, docs_per_language / sizes[x]))])
     dice = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    parts = rows.where(dice < share[F.col("lang")]).select("doc_id", "lang", "text").coalesce(64)
-    total, docs = np.zeros((len(languages), 1 << bits)), np.zeros(len(languages))
-    for r in parts.mapInArrow(_counts(languages, bits), "lang string, docs long, counts binary").toLocalIterator():
-        i = languages.index(r["lang"])
-        total[i] += np.frombuffer(r["counts"], "<i8")
-        docs[i] += r["docs"]
+    parts = rows.where(dice < share[F.col("lang")]).select("doc_id", "lang", "text").mapInArrow(_counts(languages, bits), "lang int, bucket int, n long")
+    got = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages * 2**bits rows at most
+    total = np.zeros((len(languages), 1 << bits))
+    total[got["lang"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
     weights = np.log(total + alpha) - np.log(total.sum(1, keepdims=True) + alpha * (1 << bits))
     weights -= weights.mean(0)  # what all languages share decides nothing, and sums stay small
     prior = np.log(np.array([sizes[x] for x in languages], float))
