@@ -20,7 +20,7 @@ from ..operators import governance as G
 from ..operators import joins as J
 from ..operators import reports as R
 from ..operators import wealth as V
-from ..sources.ledger import ADAPTER_SQL, COIN, Ledger, utc_date, wide
+from ..sources.ledger import ADAPTER_SQL, COIN, Ledger, ingested, utc_date, wide
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,7 +96,7 @@ def query(sql: str | None):
     def register(f):
         name = f.__name__
         OPERATORS[name] = f
-        QUERIES[name] = lambda spark, sf_dir: f(Ledger(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(ingested(spark, sf_dir))
         QUERIES[name].__name__ = name
         if sql:
             ORACLE_SQL[name] = f"WITH {ADAPTER_SQL}{MORE_SQL}{sql}"
