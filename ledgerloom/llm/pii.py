@@ -1,26 +1,36 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Base patterns give the seed entities. The words before a seed form a lexical pattern; over the graph of
-patterns and identifier-like tokens Spark scores both in turn, and patterns of high confidence mark
+Base patterns give the seed entities, whole spans. The words before a seed form a lexical pattern; over the
+graph of patterns, seeds and identifier-like tokens or digit runs Spark scores both in turn, and patterns of high confidence mark
 tokens that no base pattern knows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD_CLASS, written
+from .common import written
 from .native import let, running, total
 
 KINDS = ("email", "ip", "card", "phone")
 _MARK, _JOIN, _OTHER = "\x01", "\x02", "\x03"
+#: What identifiers are overwritten with, by kind; the last is for candidates. Texts have _OUTSIDE for such characters.
+_FILL, _UNKNOWN, _OUTSIDE = "\x04\x05\x06\x07\x08", 4, "\x0e"
+_WINDOW = 200
 _LOCAL = "[A-Za-z0-9._%+-]"
 # \G lets a match begin where the one before it ended, inside a run that the look-behind would skip.
 EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = rf"[0-9][0-9{_JOIN}]+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+# Digit groups joined by a blank, bracket, dot or hyphen, two at least, from the start to the end of words.
+RUN = r"(?<![^\x20\x09-\x0D\x04-\x08])[+(]*+[0-9]++(?:(?:[.-]|\x20?[()]{1,2}\x20?|\x20)[0-9]++)++(?![\p{L}\p{N}])"
+_REST = r"[^\x20\x09-\x0D\x04-\x08]"
+TOKEN = rf"(?<!{_REST})(?:[^\x20\x09-\x0D\x04-\x080-9@]*+(?:[0-9][^\x20\x09-\x0D\x04-\x080-9@]*+){{4}}[0-9]{_REST}*+|[^\x20\x09-\x0D\x04-\x08@]++@{_REST}*+)"
+_GAP = r"[^\p{L}\p{N}\x04-\x08]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NONE = "array<struct<start:long,kind:int,end:long,token:string>>"
 
@@ -79,36 +89,73 @@ def rendered(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _cover(spans: Column) -> Column:
+    """(start, kind, end) of the union of sorted spans; a block has the kind of its first span."""
+
+    def add(acc: Column, s: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        block = lambda start, kind, end: F.array(F.struct(start.alias("start"), kind.alias("kind"), end.alias("end")))
+        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), block(last["start"], last["kind"], F.greatest(last["end"], s["end"])))
+        return F.when((F.size(acc) > 0) & (last["end"] > s["start"]), longer).otherwise(F.concat(acc, block(s["start"], s["kind"], s["end"])))
+
+    return F.aggregate(spans, F.from_json(F.lit("[]"), "array<struct<start:long,kind:int,end:long>>"), add)
+
+
+def _replaced(text: Column, cover: Column, by: Callable[[Column], Column]) -> Column:
+    """text with by(block) in place of each block of cover."""
+
+    def cut(c: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            since = F.when(i > 0, F.get(c, i - 1)["end"]).otherwise(0)
+            return F.concat(F.substring(text, (since + 1).cast("int"), (s["start"] - since).cast("int")), by(s))
+
+        tail = F.substring(text, (F.get(c, F.size(c) - 1)["end"] + 1).cast("int"), F.length(text))
+        return F.concat(F.array_join(F.transform(c, piece), ""), tail)
+
+    return let(cover, lambda c: F.when(F.size(c) > 0, cut(c)).otherwise(text))
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """text with every character of a span replaced by that of the span's kind in _FILL; positions stay."""
+    return _replaced(text, _cover(spans), lambda s: F.repeat(F.get(F.array(*map(F.lit, _FILL)), s["kind"]), (s["end"] - s["start"]).cast("int")))
+
+
 def _tokens(docs: DataFrame) -> DataFrame:
-    """Identifier-like tokens with the words before them: _id, _h, start, end, token, before, kind (null unless a seed).
+    """Seeds and candidates with the words before them: _id, _h, start, end, token, before, kind (null unless a seed).
 
-    Such a token has '@' or five digits at least; punctuation at its ends is left out.
+    A seed is a whole span of the base patterns. A candidate overlaps none; it is a run of digit groups or a single
+    token, with '@' or five digits at least; punctuation at a token's ends is left out.
     """
-    text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), f"[{_MARK}{_JOIN}]", _OTHER)
-    token = rf"(?<!{WORD_CLASS})(?:[^\x20\x09-\x0D0-9@]*+(?:[0-9][^\x20\x09-\x0D0-9@]*+){{4}}[0-9]{WORD_CLASS}*+|[^\x20\x09-\x0D@]++@{WORD_CLASS}*+)"
-    parts = F.split(F.regexp_replace(text, token, f"{_MARK}$0{_MARK}"), _MARK)
-    some = docs.where(F.col("text").rlike("[0-9@]"))
-    cut = some.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"), base_spans(F.col("text")).alias("_b"), parts.alias("_p"))
-    cut = cut.where("size(_p) > 2").select("*", running(F.transform("_p", lambda x: F.length(x).cast("long"))).alias("_s"))
+    some = docs.where(F.col("text").rlike("[0-9@]")).select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"), "text")
+    cut = _once(some, _b=base_spans(F.col("text")), _t=F.regexp_replace("text", f"[{_MARK}-{_FILL[-1]}]", _OUTSIDE)).drop("text")
+    cut = _once(cut, _m=_masked(F.col("_t"), F.col("_b")))
+    cut = _once(cut, _r=F.filter(matches(F.col("_m"), RUN, _UNKNOWN), lambda m: F.length(_digits(m["token"])) >= 5))
+    cut = _once(cut, _n=_masked(F.col("_m"), F.col("_r"))).drop("_m")
+    cut = _once(cut, _w=matches(F.col("_n"), TOKEN, _UNKNOWN)).where("size(_b) + size(_r) + size(_w) > 0")
+    cut = _once(cut, _m=_masked(F.col("_n"), F.col("_w"))).drop("_n")
     lead = lambda x: F.length(F.regexp_extract(x, r"^[^\p{L}\p{N}+]*", 0))
     core = lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")
-    one = F.transform(
-        F.sequence(F.lit(1), F.size("_p") - 2, F.lit(2)),
-        lambda i: F.struct(
-            (F.get("_s", i) + lead(F.get("_p", i))).alias("start"),
-            core(F.get("_p", i)).alias("token"),
-            _last_words(F.get("_p", i - 1)).alias("before"),
-        ),
-    )
-    rows = cut.select("_id", "_h", "_b", F.explode(one).alias("t")).select("_id", "_h", "_b", "t.*").where("length(token) > 0")
-    rows = rows.withColumn("end", F.col("start") + F.length("token"))
-    seed = F.get(F.filter("_b", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))), F.lit(0))["kind"]
-    return rows.select("_id", "_h", "start", "end", "token", "before", seed.alias("kind"))
+
+    def row(start: Column, token: Column, kind: Column, edge: Column) -> Column:
+        since = F.greatest(edge - _WINDOW, F.lit(0))
+        text = F.substring(F.col("_m"), (since + 1).cast("int"), (edge - since).cast("int"))
+        return F.struct(start.alias("start"), (start + F.length(token)).alias("end"), token.alias("token"), _last_words(text).alias("before"), kind.cast("int").alias("kind"))
+
+    seeds = F.transform("_b", lambda m: row(m["start"], F.substring(F.col("_t"), (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int")), m["kind"], m["start"]))
+    runs = F.transform("_r", lambda m: row(m["start"], m["token"], F.lit(None), m["start"]))
+    words = F.transform("_w", lambda m: row(m["start"] + lead(m["token"]), core(m["token"]), F.lit(None), m["start"]))
+    return cut.select("_id", "_h", F.explode_outer(F.concat(seeds, runs, words)).alias("t")).select("_id", "_h", "t.*").where("length(token) > 0")
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once for each row: no filter or projection above takes their expressions in."""
+    one = F.explode_outer(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))
+    return df.select("*", one.alias("_one")).select("*", "_one.*").drop("_one")
 
 
 def _last_words(text: Column) -> Column:
-    """The last two words of letters in text's last 60 characters, lower case; '' if there are fewer."""
-    return F.regexp_extract(F.lower(F.substring(text, -60, 60)), r"(\p{L}+[^\p{L}\p{N}]+\p{L}+)[^\p{L}\p{N}]*$", 1)
+    """The last two words of letters in text, lower case; '' if there are fewer since the identifier before."""
+    return F.regexp_extract(F.lower(text), rf"(\p{{L}}+{_GAP}+\p{{L}}+){_GAP}*$", 1)
 
 
 def discovered(docs: DataFrame, rounds: int = 3, min_seeds: int = 5, min_score: float = 0.8) -> DataFrame:
