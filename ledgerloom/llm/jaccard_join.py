@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, text_slices, word_hashes, written
@@ -82,7 +82,7 @@ def _sketches(n: int, runs: int, depth: int):
                 ids += set_ids(sets)
                 sizes += [len(s) for s in sets]
                 keys += [next(some).astype("<i8").tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "node", "n_shingles", "paths"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "h", "node", "n_shingles", "paths"])
 
     return run
 
@@ -271,13 +271,24 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
     doc_id take part and have the class of their copies. Links that the join reports are exact; a link at the threshold is found with
     probability `recall` at least.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _linked(docs, threshold, words, recall, depth, first_level, small, block).drop("h")
+
+
+def _text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"].cast("string"))
+
+
+def _linked(docs: DataFrame, threshold: float, words: int, recall: float, depth: int, first_level: int, small: int, block: int) -> DataFrame:
+    """jaccard_join with h, the hash of the row's text: (doc_id, h) names a row's content also where ids repeat or are null."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), _text_hash(docs).alias("h"))
     runs = runs_for(threshold, depth, recall)
-    sketches = written(rows.mapInArrow(_sketches(words, runs, depth), "doc_id long, node binary, n_shingles long, paths binary"))
-    nodes = written(sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("paths").alias("paths")))
+    sketches = written(rows.mapInArrow(_sketches(words, runs, depth), "doc_id long, h long, node binary, n_shingles long, paths binary"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h"))
+    nodes = sketches.where("node is not null").groupBy("node").agg(first.alias("first"), F.count("*").alias("copies"), F.first("paths").alias("paths"))
+    nodes = written(nodes.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"), "copies", "paths"))
     member = buckets(nodes, depth, first_level, small).groupBy("node").agg(F.collect_list(F.struct("bucket", "size")).alias("in"))
-    chosen = nodes.select("node", "first_id", "copies").join(member, "node")
-    cells = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["first_id"])).select("doc_id", "text", "node", "copies", "in").mapInArrow(
+    chosen = nodes.select("node", "first_id", "first_h", "copies").join(member, "node")
+    cells = rows.join(chosen, (F.col("h") == F.col("first_h")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text", "node", "copies", "in").mapInArrow(
         _cells(words, block), "bucket long, i int, j int, own int, node binary, copies long, tokens binary, others array<long>"
     )
     linked = written(cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_compare_cells(threshold), "a binary, b binary, links long"))
@@ -286,11 +297,14 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
     known = nodes.select("node", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("first_id").alias("class_id"))
     by_node = known.join(least, "root").join(links, "node", "left").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return sketches.join(by_node, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return sketches.join(by_node, "node", "left").select("doc_id", "h", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
 
+def keep_one_of_each_class(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.998, depth: int = 4, first_level: int = 1, small: int = 64, block: int = 512) -> DataFrame:
+    """The rows of docs, all columns, of which doc_id is the class_id: one document of each group of linked ones.
 
-def keep_one_of_each_class(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs, all columns, of which doc_id is the class_id: one document of each group of linked ones."""
-    joined = jaccard_join(docs, **parameters)
-    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    Each content decides for itself: of rows with a null or repeated doc_id only those go that are linked with a lesser doc_id.
+    """
+    joined = _linked(docs, threshold, words, recall, depth, first_level, small, block)
+    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone"), F.col("h").alias("_gone_h")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (_text_hash(docs) == gone["_gone_h"]), "left_anti")
