@@ -121,10 +121,10 @@ def _masked(text: Column, spans: Column) -> Column:
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
-    """Seeds and candidates with the words before them: _id, _h, start, end, token, before, kind (null unless a seed).
+    """Seeds and candidates with the patterns before them: _id, _h, start, end, token, before, kind (null unless a seed).
 
     A seed is a whole span of the base patterns. A candidate overlaps none; it is a run of digit groups or a single
-    token, with '@' or five digits at least; punctuation at a token's ends is left out.
+    token, with '@' or five digits at least; punctuation at a token's ends is left out. A token within a run has no patterns.
     """
     some = docs.where(F.col("text").rlike("[0-9@]")).select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"), "text")
     cut = _once(some, _b=base_spans(F.col("text")), _t=F.regexp_replace("text", f"[{_MARK}-{_FILL[-1]}]", _OUTSIDE)).drop("text")
@@ -139,12 +139,14 @@ def _tokens(docs: DataFrame) -> DataFrame:
     def row(start: Column, token: Column, kind: Column, edge: Column) -> Column:
         since = F.greatest(edge - _WINDOW, F.lit(0))
         text = F.substring(F.col("_m"), (since + 1).cast("int"), (edge - since).cast("int"))
-        return F.struct(start.alias("start"), (start + F.length(token)).alias("end"), token.alias("token"), _last_words(text).alias("before"), kind.cast("int").alias("kind"))
+        return F.struct(start.alias("start"), (start + F.length(token)).alias("end"), token.alias("token"), _patterns(text).alias("before"), kind.cast("int").alias("kind"))
 
     seeds = F.transform("_b", lambda m: row(m["start"], F.substring(F.col("_t"), (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int")), m["kind"], m["start"]))
     runs = F.transform("_r", lambda m: row(m["start"], m["token"], F.lit(None), m["start"]))
+    none = F.lit(None).cast("array<string>")
+    part = lambda m: F.transform(matches(m["token"], TOKEN, _UNKNOWN), lambda x: F.struct((m["start"] + x["start"] + lead(x["token"])).alias("start"), (m["start"] + x["start"] + lead(x["token"]) + F.length(core(x["token"]))).alias("end"), core(x["token"]).alias("token"), none.alias("before"), F.lit(None).cast("int").alias("kind")))
     words = F.transform("_w", lambda m: row(m["start"] + lead(m["token"]), core(m["token"]), F.lit(None), m["start"]))
-    return cut.select("_id", "_h", F.explode_outer(F.concat(seeds, runs, words)).alias("t")).select("_id", "_h", "t.*").where("length(token) > 0")
+    return cut.select("_id", "_h", F.explode_outer(F.concat(seeds, runs, words, F.flatten(F.transform("_r", part)))).alias("t")).select("_id", "_h", "t.*").where("length(token) > 0")
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -153,30 +155,38 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", one.alias("_one")).select("*", "_one.*").drop("_one")
 
 
-def _last_words(text: Column) -> Column:
-    """The last two words of letters in text, lower case; '' if there are fewer since the identifier before."""
-    return F.regexp_extract(F.lower(text), rf"(\p{{L}}+{_GAP}+\p{{L}}+){_GAP}*$", 1)
+def _patterns(text: Column) -> Column:
+    """The last two units of text as one pattern and the last one as another, as far as there are any.
+
+    A unit is a word in lower case, a number, written 0, or an identifier, written as the mark of its kind.
+    """
+    lower = F.regexp_replace(F.lower(text), rf"\p{{N}}+", "0")
+    units = F.filter(F.split(F.regexp_replace(lower, r"([\x04-\x08])\1*", " $1 "), r"[^\p{L}0\x04-\x08]+"), lambda u: u != "")
+    return let(F.slice(F.concat(F.array(F.lit(""), F.lit("")), units), F.lit(-2), F.lit(2)), lambda u: F.filter(F.array(F.when(F.get(u, F.lit(0)) != "", F.array_join(u, " ")), F.when(F.get(u, F.lit(1)) != "", F.get(u, F.lit(1)))), lambda x: x.isNotNull()))
 
 
 def discovered(docs: DataFrame, rounds: int = 3, min_seeds: int = 5, min_score: float = 0.8) -> DataFrame:
     """_id, _h, extra: spans that confident patterns add, by document id and hash of its text.
 
     A pattern's score for a kind is the mean score of its distinct tokens, and it counts with min_seeds seeds
-    or accepted tokens at least; a token's score is the noisy-or of its patterns' scores, 1 for a seed.
+    or accepted tokens at least; a token's score is the noisy-or of its patterns' scores, 1 for a seed. Every
+    occurrence of an accepted token is a span, whatever comes before it.
     """
-    edges = written(_tokens(docs).where("before <> ''"))
-    graph = written(edges.groupBy("before", "token").agg(F.max("kind").alias("kind")))
-    kinds = F.explode(F.array(*(F.lit(k) for k in range(len(KINDS))))).alias("k")
-    score = graph.where("kind is not null").select("token", F.col("kind").alias("k"), F.lit(1.0).alias("score")).distinct()
+    found = written(_tokens(docs))
+    graph = written(found.select("token", "kind", F.explode("before").alias("before")).groupBy("before", "token").agg(F.max("kind").alias("kind")))
+    seeds = found.where("kind is not null").select("token", F.col("kind").alias("k"), F.lit(1.0).alias("score")).distinct()
+    score = seeds
     sizes = graph.groupBy("before").agg(F.count("*").alias("n"))
     patterns = None
     for _ in range(rounds):
         hits = graph.join(score, "token").groupBy("before", "k").agg(F.sum("score").alias("s"), F.count("*").alias("m"))
         patterns = written(hits.join(sizes, "before").where((F.col("m") >= min_seeds) & (F.col("s") / F.col("n") >= min_score)).select("before", "k", (F.col("s") / F.col("n")).alias("p")))
         fresh = graph.where("kind is null").join(patterns, "before").groupBy("token", "k").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("p"), F.lit(0.999)))))).alias("score"))
-        seeds = graph.where("kind is not null").select("token", F.col("kind").alias("k"), F.lit(1.0).alias("score")).distinct()
-        score = seeds.unionByName(fresh.where(F.col("score") >= min_score))
-    new = edges.where("kind is null").join(patterns, "before").groupBy("_id", "_h", "start", "end", "token").agg(F.max_by("k", F.struct("p", -F.col("k"))).alias("k"))
+        score = seeds.unionByName(fresh.where(F.col("score") >= min_score - 1e-9)).groupBy("token", "k").agg(F.max("score").alias("score"))
+    rest = found.where("kind is null")
+    best = score.groupBy("token").agg(F.max_by("k", F.struct("score", -F.col("k"))).alias("k"))
+    known = written(rest.select("token").distinct().join(best, "token"))
+    new = rest.join(known, "token").select("_id", "_h", "start", "end", "token", "k").distinct()
     span = F.struct(F.col("start"), F.col("k").cast("int").alias("kind"), F.col("end"), F.col("token"))
     return new.groupBy("_id", "_h").agg(F.sort_array(F.collect_list(span)).alias("extra"))
 

@@ -28,3 +28,13 @@ def test_cards_in_groups_seed_patterns(spark):
     rows = [(k, f"w{k} paid with card {card(k)} today") for k in range(12)]
     rows += [(50, f"v paid with card 4111 1111 1111 1112 today")]
     assert spans(spark, rows)[50] == f"card:{rows[12][1].index('4111')}:{rows[12][1].index(' today')}"
+
+
+def test_contexts_reach_over_identifiers_and_accepted_tokens_count_everywhere(spark):
+    rows = [(k, f"w{k} pair jo{k}@mail.example.com +1 (017) 555-77{k:02} now") for k in range(20)]
+    rows += [(50, "v pair ann@mail.example.com (017) 555 9913 now")]
+    rows += [(51, "4845168114407329 q"), (52, "q 7536784127813050 4845168114407329 q"), (53, "(017) 555 9913 at the start")]
+    got = spans(spark, rows)
+    start = rows[20][1].index("(017")
+    assert got[50].split(",")[-1] == f"phone:{start}:{start + 14}"
+    assert got[52] == "card:19:35" and got[53] == "phone:0:14"
