@@ -212,29 +212,15 @@ def find_personal_data(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def redact(docs: DataFrame, **parameters) -> DataFrame:
-    """docs, all columns, with each span replaced by [KIND]; of overlapping spans the first counts.
+    """docs, all columns, with each span replaced by [KIND]; overlapping spans are replaced together, by the first one's kind.
 
     n_chars, where docs has it, follows the text. Null texts stay null.
     """
     rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     found = personal_spans(rows, "text", "_row", **parameters)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    cover = F.aggregate(
-        "spans",
-        F.from_json(F.lit("[]"), "array<struct<start:long,kind:int,end:long>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] > s["start"]), acc).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))),
-    )
-
-    def cut(c: Column) -> Column:
-        def piece(s: Column, i: Column) -> Column:
-            since = F.when(i > 0, F.get(c, i - 1)["end"]).otherwise(0)
-            return F.concat(F.substring("text", (since + 1).cast("int"), (s["start"] - since).cast("int")), F.get(names, s["kind"]))
-
-        tail = F.substring(F.col("text"), (F.get(c, F.size(c) - 1)["end"] + 1).cast("int"), F.length("text"))
-        return F.concat(F.array_join(F.transform(c, piece), ""), tail)
-
     some = F.size("spans") > 0
-    new = found.withColumn("_new", F.when(some, let(cover, cut)).otherwise(F.col("text")))
+    new = found.withColumn("_new", F.when(some, _replaced(F.col("text"), _cover(F.col("spans")), lambda s: F.get(names, s["kind"]))).otherwise(F.col("text")))
     kinds = {f.name: f.dataType for f in docs.schema}
     own = {"text": F.col("_new"), "n_chars": F.when(some, F.length("_new").cast("long")).otherwise(F.col("_row.n_chars").cast("long")) if "n_chars" in kinds else None}
     return new.select(*((own[c] if c in own else F.col(f"_row.`{c}`")).cast(kinds[c]).alias(c) for c in docs.columns))

@@ -38,3 +38,9 @@ def test_contexts_reach_over_identifiers_and_accepted_tokens_count_everywhere(sp
     start = rows[20][1].index("(017")
     assert got[50].split(",")[-1] == f"phone:{start}:{start + 14}"
     assert got[52] == "card:19:35" and got[53] == "phone:0:14"
+
+
+def test_redaction_covers_overlapping_spans(spark):
+    rows = [(1, "call +1 202 555 0100jo@x.com now"), (2, "pay 4111111111111111@host.example now")]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "call [PHONE] now", 2: "pay [EMAIL] now"}
