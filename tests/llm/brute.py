@@ -117,3 +117,18 @@ def viterbi(text, scores, unknown, byte_ids):
         out = ids + out
         at = i
     return out
+
+
+def redacted(text, spans):
+    """text with the union of overlapping spans replaced by the first one's kind."""
+    blocks = []
+    for a, k, b in sorted(spans):
+        if blocks and a < blocks[-1][2]:
+            blocks[-1][2] = max(b, blocks[-1][2])
+        else:
+            blocks.append([a, k, b])
+    out, at = "", 0
+    for a, k, b in blocks:
+        out += text[at:a] + f"[{KINDS[k].upper()}]"
+        at = b
+    return out + text[at:]
