@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import shared_dir, written  # noqa: F401
@@ -26,16 +26,43 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def dice(*columns) -> Column:
+    """A number from 0 to below 1 that depends on the columns' values only; its step is 2**-63."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1).cast("double") / float(1 << 63)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     """doc_id, text and the label (as `label`) of about max_rows labelled documents that are not held out.
 
-    They are picked by a hash of the id; the sample is small by construction and is sent to the scan.
+    They are picked by a hash of the id, so the picked ids are few by construction and are sent to the scan. Of
+    documents that share an id the one with the least text is taken: one row per id.
     """
-    mine = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    mine = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     n = mine.count()
-    dice = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    picked = mine.where(dice < min(1.0, max_rows / max(n, 1)))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    picked = mine.where(dice("doc_id") < min(1.0, max_rows / max(n, 1)))
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, key: str, size: str, most: int = 1000, how: str = "inner") -> DataFrame:
+    """rows joined with groups, which have one row for each key and the number of rows with it in `size`.
+
+    Keys with more than one in `most` of all rows, fewer than `most` keys, are broadcast with a number of salts;
+    their rows are dealt over as many tasks by a hash, and their groups are repeated.
+    """
+    groups = written(groups, False)
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = groups.where(F.col(size) * most > total).select(
+        F.col(key).alias("_key"), F.ceil(F.col(size) * most / F.lit(max(total, 1))).cast("int").alias("_salts")
+    )
+    mark = F.xxhash64(*rows.columns)
+    salted = rows.join(F.broadcast(large), rows[key] == F.col("_key"), "left").withColumn(
+        "_salt", F.when(F.col("_salts").isNotNull(), F.pmod(mark, F.col("_salts"))).otherwise(F.lit(0)).cast("int")
+    )
+    salts = F.when(F.col(size) * most > total, F.ceil(F.col(size) * most / F.lit(max(total, 1))).cast("int")).otherwise(F.lit(1))
+    dealt = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.drop("_key", "_salts").join(dealt, [key, "_salt"], how).drop("_salt")
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:

@@ -18,10 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
-
-_BODY = pa.schema([("digest", pa.binary()), ("body", pa.binary()), ("copies", pa.int64()), ("n_chars_best", pa.int64()), ("id_best", pa.int64())])
-_CLASS = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+from .common import SPACE, salted_join, written
+
+_BODY = pa.schema(
+    [("digest", pa.binary()), ("body", pa.binary()), ("copies", pa.int64()), ("n_best", pa.int64()), ("id_best", pa.int64()), ("ties", pa.int64())]
+)
+_CLASS = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("n_best", pa.int64()), ("ties", pa.int64()), ("group_size", pa.int64())])
+_BODY_SQL = "digest binary, body binary, copies long, n_best long, id_best long, ties long"
+_CLASS_SQL = "digest binary, keep_id long, n_best long, ties long, group_size long"
 _DROP = SPACE.encode()
 
 
@@ -53,19 +57,24 @@ class ContentTable:
             at = (at + 1) & mask
         return at, -1
 
-    def add(self, digest: bytes, body: bytes, copies: int, n: int, doc: int | None) -> bool:
-        """Merge a record into its class; False if it would be a new class and memory is used up."""
+    def add(self, digest: bytes, body: bytes, copies: int, n: int, doc: int | None, ties: int = 1) -> bool:
+        """Merge a record into its class; False if it would be a new class and memory is used up.
+
+        ties counts the rows that are as good as the best one.
+        """
         at, k = self.find(digest, body)
         if k >= 0:
             e = self.entries[k]
             e[2] += copies
-            if better(n, doc, e[3], e[4]):
-                e[3], e[4] = n, doc
+            if (n, doc) == (e[3], e[4]):
+                e[5] += ties
+            elif better(n, doc, e[3], e[4]):
+                e[3], e[4], e[5] = n, doc, ties
             return True
         if self.entries and self.used + len(body) > self.max_bytes:
             return False
         self.slots[at] = len(self.entries)
-        self.entries.append([digest, body, copies, n, doc])
+        self.entries.append([digest, body, copies, n, doc, ties])
         self.used += len(body) + 200
         if 2 * len(self.entries) > len(self.slots):
             self.slots = array("q", [-1]) * (4 * len(self.slots))
@@ -79,7 +88,7 @@ class ContentTable:
 
 
 def grace(records: Iterator[tuple], max_bytes: int, fan_out: int = 8, level: int = 0) -> Iterator[list]:
-    """The classes of records (digest, body, copies, n, doc).
+    """The classes of records (digest, body, copies, n, doc, ties).
 
     Classes that fit are merged in place; other records go to one of fan_out spill files by a digest byte
     that no level above has used. Each level settles at least one class, so it ends. The files are private
@@ -113,7 +122,7 @@ def _bodies(max_bytes: int):
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 doc, text = doc.as_py(), text.as_py() or ""
                 body = normalised(text)
-                record = hashlib.sha256(body).digest(), body, 1, len(text), doc
+                record = hashlib.sha256(body).digest(), body, 1, len(text), doc, 1
                 if not table.add(*record):
                     yield from _sent(table.entries, _BODY)
                     table = ContentTable(max_bytes)
@@ -133,8 +142,8 @@ def _settle(max_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records = (tuple(x.as_py() for x in r) for b in batches for r in zip(*b.columns, strict=True))
         out = []
-        for digest, _, copies, _, doc in grace(records, max_bytes):
-            out.append((digest, doc, copies))
+        for digest, _, copies, n, doc, ties in grace(records, max_bytes):
+            out.append((digest, doc, n, ties, copies))
             if len(out) >= 5000:
                 yield from _sent(out, _CLASS)
                 out = []
@@ -150,10 +159,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def content_classes(docs: DataFrame, table_bytes: int = 48 << 20) -> DataFrame:
-    """digest, keep_id, group_size of each distinct content of docs(doc_id, text)."""
+    """digest, keep_id, n_best, ties, group_size of each distinct content of docs(doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bodies = rows.mapInArrow(_bodies(table_bytes // 3), "digest binary, body binary, copies long, n_chars_best long, id_best long")
-    return bodies.repartition("digest").mapInArrow(_settle(table_bytes), "digest binary, keep_id long, group_size long")
+    bodies = rows.mapInArrow(_bodies(table_bytes // 3), _BODY_SQL)
+    return bodies.repartition("digest").mapInArrow(_settle(table_bytes), _CLASS_SQL)
 
 
 def exact_dedup(docs: DataFrame, table_bytes: int = 48 << 20) -> DataFrame:
@@ -161,18 +170,31 @@ def exact_dedup(docs: DataFrame, table_bytes: int = 48 << 20) -> DataFrame:
 
     Texts are equal when identical after deleting [\\x20\\x09-\\x0D]; null counts as empty, so null,
     empty and blank texts form one group. Of a group stays the row with the most code points, then the
-    smallest doc_id, a null id last. Rows that repeat a doc_id are one document: they share `kept`.
-    An empty table gives no rows; other columns are ignored.
+    smallest doc_id, a null id last. Rows that repeat a doc_id within a group are one document: they share `kept`.
+    An empty table gives no rows; other columns, whatever their names, are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     light = rows.mapInArrow(_digests, "doc_id long, digest binary")
-    classes = content_classes(docs, table_bytes)
-    return light.join(classes, "digest").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    joined = salted_join(light, content_classes(docs, table_bytes), "digest", "group_size")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+    return joined.select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_first_copies(docs: DataFrame, table_bytes: int = 48 << 20) -> DataFrame:
-    """The rows of docs, all columns, that stay: one per content. Rows with a null doc_id count as one document."""
-    kept = content_classes(docs, table_bytes).select(F.col("keep_id").alias("_keep_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep_id"]), "left_semi")
+    """The rows of docs, all columns, that stay: one of each content, as exact_dedup chooses.
+
+    Each row is decided by its own content, so rows with a null or repeated doc_id of other texts stay. Of rows
+    that tie, with one doc_id and one length, one stays. Null and empty texts are one content. Empty tables give
+    no rows; columns may have any names.
+    """
+    body = F.translate(F.coalesce(docs["text"].cast("string"), F.lit("")), SPACE, "")
+    length = F.length(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    key = {"_id": docs["doc_id"].cast("long"), "_digest": F.unhex(F.sha2(body.cast("binary"), 256)), "_n": length}
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row")
+    rows = docs.select(row, *(c.alias(n) for n, c in key.items()))
+    best = written(content_classes(docs, table_bytes).select("digest", "keep_id", "n_best", (F.col("ties") > 1).alias("_tied")), False)
+    same = (F.col("_digest") == F.col("digest")) & F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_n") == F.col("n_best"))
+    kept = rows.join(best, same).select("_row", "digest", "_tied")
+    alone = kept.where("not _tied").select("_row")
+    one = kept.where("_tied").groupBy("digest").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return alone.unionByName(one.select("_row")).select("_row.*")

@@ -37,6 +37,22 @@ def edge_rows():
     ]
 
 
+@pytest.fixture(scope="session")
+def repeated_rows():
+    """Ids that repeat, with equal and with other texts, and several null ids."""
+    own = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    return [
+        (1, own("p"), "en"), (1, own("p"), "en"), (None, own("p"), None), (None, own("q"), None), (7, own("r"), "en"), (7, own("p") + " z", "de"),
+        (7, own("r"), "en"), (None, own("s"), None), (None, own("s"), None), (None, None, None), (None, None, None), (8, None, "en"), (8, "", "en"),
+        (9, own("t") + " end", "en"), (9, own("t"), "en"), (9, own("t") + "  end", "en"), (3, own("u"), None), (2, own("u"), None), (2, own("u") + " ", None),
+    ]
+
+
+@pytest.fixture(scope="session")
+def repeated(spark, repeated_rows):
+    return frame(spark, repeated_rows).repartition(3).persist()
+
+
 @pytest.fixture(scope="session")
 def edge(spark, edge_rows):
     return frame(spark, edge_rows).persist()
