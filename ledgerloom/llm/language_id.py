@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_points, held_out, mix, per_text, text_slices
+from .common import code_points, dice, held_out, mix, per_text, text_slices
 
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -75,11 +75,12 @@ def _counts(languages: list[str], bits: int):
     return run
 
 
-def train(labelled: DataFrame, bits: int = 16, docs_per_language: int = 4000, alpha: float = 0.5, max_languages: int = 1000) -> dict:
+def train(labelled: DataFrame, bits: int = 16, docs_per_language: int = 4000, alpha: float = 0.5, max_languages: int = 200) -> dict:
     """A model from labelled(doc_id, text, lang).
 
     Learns from about docs_per_language rows of each language, picked by a hash of the id: the bound on the
-    sample. Rows with a null text or label are left out. More than max_languages labels are an error, not a cut.
+    sample. Rows with a null text or label are left out. More than max_languages labels are an error, not a cut: the
+    broadcast matrix has 4 * 2**bits bytes for each, 52 MB at most with these defaults.
     """
     rows = labelled.where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
@@ -89,8 +90,7 @@ def train(labelled: DataFrame, bits: int = 16, docs_per_language: int = 4000, al
         return {"languages": [], "bits": bits, "weights": np.zeros((0, 1 << bits), np.float32), "prior": np.zeros(0)}
     languages = sorted(sizes)
     share = F.create_map(*[F.lit(v) for x in languages for v in (x, min(1.0, docs_per_language / sizes[x]))])
-    dice = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    parts = rows.where(dice < share[F.col("lang")]).select("doc_id", "lang", "text").mapInArrow(_counts(languages, bits), "lang int, bucket int, n long")
+    parts = rows.where(dice("doc_id", "text") < share[F.col("lang")]).select("doc_id", "lang", "text").mapInArrow(_counts(languages, bits), "lang int, bucket int, n long")
     got = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages * 2**bits rows at most
     total = np.zeros((len(languages), 1 << bits))
     total[got["lang"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
@@ -136,7 +136,11 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def language_id(docs: DataFrame, **parameters) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: learnt from the rows of docs that are not held out and have a lang."""
+    """doc_id, held_out, lang_pred, score: learnt from the rows of docs that are not held out and have a lang.
+
+    A text that is null, empty or without a letter gets `und` and score 0. Repeated rows and null ids pass through,
+    each scored by its own text; an empty table gives no rows; other columns, whatever their names, are ignored.
+    """
     model = train(docs.where(~held_out()), **parameters)
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
@@ -144,7 +148,9 @@ def language_id(docs: DataFrame, **parameters) -> DataFrame:
 def keep_recognised(docs: DataFrame, model: dict, min_score: float = 0.0) -> DataFrame:
     """The rows of docs, all columns, whose language is recognised with a score of at least min_score.
 
-    It filters in one pass over the rows, without a join.
+    It filters in one pass over the rows, without a join: repeated rows and null ids pass or go by their own text,
+    null and empty texts go, columns may have any names, an empty table gives no rows. With min_score 0 what goes
+    is what predict calls `und`, texts without a letter.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, text_slices
+from .common import dice, held_out, labelled_sample, text_slices
 
 FEATURES = ("log_words", "mean_word", "upper", "digit", "symbol", "pipe", "exclaim", "comma_stop", "other", "newline", "distinct", "top_word", "dup_line", "repeat3", "long_word", "no_letter_word")
 _SYMBOL, _COMMA_STOP = re.compile(r"[#*$%&<>]"), re.compile(r"[.,;:]")
@@ -87,7 +87,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, size: int, prior: float | None, steps: int = 600, rate: float = 0.05, l2: float = 1e-4) -> np.ndarray:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, size: int, prior: float | None, steps: int = 1500, rate: float = 0.05, l2: float = 1e-5) -> np.ndarray:
     """Weights (bias last) that minimise, by Adam, the logistic loss.
 
     With a prior: the non-negative PU risk prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]); where the
@@ -120,37 +120,43 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, size: int, prior: float |
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, size: int) -> float:
     """Best-bin estimate: the least ratio of the shares of U and P above a score, over scores that leave enough rows.
 
-    A classifier of P against U is fitted on one half of both and its scores are read on the other.
+    A classifier of P against U is fitted on one half of both and its scores are read on the other; then the
+    halves change places. Every ratio is at least the prior but for chance, so of all cuts of both classifiers
+    the one with the least upper bound counts.
     """
-    w = fit(positive[::2], unlabelled[::2], size, None, 200)
-    p, u = (np.sort(w[x[1::2]].sum(1)) for x in (positive, unlabelled))
+    return min(_half_prior(positive, unlabelled, size, k) for k in (0, 1))[1]
+
+
+def _half_prior(positive: np.ndarray, unlabelled: np.ndarray, size: int, half: int) -> tuple[float, float]:
+    """(upper bound, ratio) of the best cut of the classifier that is fitted on one half."""
+    w = fit(positive[half::2], unlabelled[half::2], size, None, 200)
+    p, u = (np.sort(w[x[1 - half :: 2]].sum(1)) for x in (positive, unlabelled))
     if not len(p) or not len(u):
-        return 0.5
+        return 1.0, 0.5
     cuts = np.quantile(p, np.linspace(0, 0.9, 91))
     above = lambda x: 1 - np.searchsorted(x, cuts) / len(x)
     slack = np.sqrt(np.log(20) / (2 * len(u))) + np.sqrt(np.log(20) / (2 * len(p)))
     ratio = above(u) / np.maximum(above(p), 1e-9)
     bound = ratio + slack / np.maximum(above(p), 1e-9)
-    return float(np.clip(ratio[int(bound.argmin())], 0.05, 0.98))
+    best = int(bound.argmin())
+    return float(bound[best]), float(np.clip(ratio[best], 0.05, 0.98))
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: int = 12000, bins: int = 16) -> dict:
     """A model from about `positives` rows with quality 1 and `unlabelled` rows of docs, none of them held out.
 
-    Both bounds hold for any input: rows are picked by a hash of the id. The class prior is the share of label 1
-    among the labels that are not held out; if there is no other label, it is estimated from the two samples.
+    Both bounds hold for any input: rows are picked by a hash of the id. The class prior is estimated from the two
+    samples; labels other than 1 are never read.
     """
     p = _sample(labelled_sample(docs, labels.where("quality = 1"), "quality", positives))
-    shares = labels.where(F.col("quality").isNotNull() & ~held_out()).agg(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0))).first()[0]
     open_docs = docs.where(~held_out())
-    dice = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1_000_000)) / 1_000_000
-    u = _sample(open_docs.where(dice < min(1.0, unlabelled / max(docs.count(), 1))))
+    u = _sample(open_docs.where(dice("doc_id", F.lit("unlabelled")) < min(1.0, unlabelled / max(open_docs.count(), 1))))
     if not len(p) or not len(u):
         return {"edges": [np.zeros(0)] * len(FEATURES), "weights": np.zeros(len(FEATURES) + 1), "prior": 0.5}
     edges = bin_edges(np.concatenate([p, u]), bins)
     size = sum(len(e) + 1 for e in edges)
     pb, ub = binned(p, edges), binned(u, edges)
-    prior = shares if shares < 1 else estimate_prior(pb, ub, size)
+    prior = estimate_prior(pb, ub, size)
     return {"edges": edges, "weights": fit(pb, ub, size, prior), "prior": prior}
 
 
@@ -162,7 +168,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, *
     """doc_id, held_out, score, predicted of docs(doc_id, text).
 
     Null text counts as empty; empty texts are scored like any other, by statistics that are all 0. Repeated rows
-    and null ids pass through; an empty table gives no rows; without labels all scores are 0.5.
+    and null ids pass through; an empty table gives no rows; without labels all scores are 0.5. Other columns,
+    whatever their names, are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **parameters))
 

@@ -138,17 +138,23 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
+def learned(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> list[Rule]:
+    """The decision list of about sample_rows labelled rows, picked by a hash of the id, none held out."""
+    sample = statistics(labelled_sample(docs, labels, "quality", sample_rows), "label", "doc_id")
+    rows = [r.asDict() for r in sample.select("label", "doc_id", *RATIOS).collect()]
+    return learn(sorted(rows, key=lambda r: r["doc_id"]))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     Learns from about sample_rows labelled rows. base_failed: fewer than 20 words, or over 30 % of them in
     repeated 8-word windows; such a document isn't kept, others are as the list decides. Null text counts as
-    empty (0 words, base_failed). Repeated rows and null ids pass through; without labels the list is empty.
+    empty (0 words, base_failed). Repeated rows and null ids pass through; without labels the list is empty; an
+    empty table gives no rows; other columns, whatever their names, are ignored.
     """
-    sample = statistics(labelled_sample(docs, labels, "quality", sample_rows), "label", "doc_id")
-    rows = [r.asDict() for r in sample.select("label", "doc_id", *RATIOS).collect()]
-    rules = learn(sorted(rows, key=lambda r: r["doc_id"]))
+    rules = learned(docs, labels, sample_rows)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return statistics(docs, "doc_id").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept")
-    )
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    measured = statistics(docs.select("doc_id", "text"), "doc_id")
+    return measured.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"))

@@ -87,14 +87,115 @@ def test_toxicity_edges(edge, empty, labels):
     assert len({r.score for r in toxicity.toxicity_scores(edge, labels.where("false")).collect()}) == 1
 
 
-def test_naming_a_group_moves_no_score():
-    """Toxic texts happen to name one group more often; with the penalty its terms weigh little."""
+def test_counterfactuals_change_the_named_group_only():
+    pairs = list(toxicity.counterfactuals("A Muslim woman spoke"))
+    words = {"a", "muslim", "woman", "spoke"}
+    swaps = [b for a, b in pairs if a == words and len(b) == 4]
+    assert {frozenset(words - {"woman"} | {x}) for x in toxicity.GROUPS[0] if x != "woman"} <= {frozenset(b) for b in swaps}
+    assert sum(len(b) == 5 for _, b in pairs) >= 3
+
+
+@pytest.fixture(scope="session")
+def biased(spark):
+    """Documents in which toxic texts name one group far more often than clean ones do, which insult nobody by itself."""
     rng = np.random.default_rng(2)
-    n = 2000
-    y = (rng.random(n) < 0.3).astype(float)
-    insult = (rng.random(n) < np.where(y == 1, 0.8, 0.02)).astype(float)
-    group_a = (rng.random(n) < np.where(y == 1, 0.7, 0.2)).astype(float)
-    x = np.stack([insult, group_a, 1 - group_a], 1)
-    change = np.stack([0 * insult, 2 * group_a - 1, 1 - 2 * group_a], 1)
-    loose, tight = toxicity.fit(x, y, change, 0.0), toxicity.fit(x, y, change, 5.0)
-    assert abs(tight[1] - tight[2]) < 0.2 * abs(loose[1] - loose[2]) and tight[0] > 1
+    rows, labels = [], []
+    for k in range(2500):
+        toxic = rng.random() < 0.3
+        words = [f"w{x}" for x in rng.integers(0, 400, 12)]
+        words = ["".join(chr(97 + int(c)) for c in w[1:]) + "x" for w in words]
+        if toxic and rng.random() < 0.7:
+            words[3] = "scumbag"
+        if rng.random() < (0.7 if toxic else 0.1):
+            words[6] = "muslims"
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_naming_a_group_moves_held_out_scores_less(biased):
+    docs, labels = biased
+    fair, plain = toxicity.train(docs, labels), toxicity.train(docs, labels, fairness=0.0)
+    assert fair["n_counterfactuals"] > 1000
+    held = [(r.text, r.toxic) for r in docs.join(labels, "doc_id").collect() if brute.held_out(r.doc_id)]
+    clean = [t.replace("muslims", "") for t, y in held if not y]
+    change = lambda m: np.mean([abs(toxicity.score_text(t + " muslims", m) - toxicity.score_text(t, m)) for t in clean])
+    false = lambda m: np.mean([toxicity.score_text(t + " muslims", m) >= 0.5 for t in clean])
+    assert change(fair) < 0.5 * change(plain) and false(fair) < 0.5 * false(plain)
+    assert np.mean([toxicity.score_text(t, fair) > 0.5 for t, y in held if "scumbag" in t]) > 0.9
+
+
+def test_penalty_has_rows_on_documents(tenth):
+    assert toxicity.train(*tenth)["n_counterfactuals"] > 10_000
+
+
+def test_toxicity_scores_by_hand(docs, labels, sf_rows):
+    """Every score again, from the model's weights and features cut by hand."""
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, labels).collect()}
+    for doc, text in sf_rows:
+        words, run = set(), ""
+        for c in (text or "").lower() + " ":
+            if c.isalpha():
+                run += c
+            elif run:
+                words.add(run)
+                words |= {run[:n] + "-" for n in (5, 6, 7) if len(run) > n}
+                run = ""
+        z = model["bias"] + sum(model["weights"].get(w, 0.0) for w in words)
+        assert got[doc] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_language_by_loops_over_n_grams(docs, sf_rows):
+    """Posteriors again by a loop over characters, with the trained log-probabilities."""
+    model = language_id.train(docs.where(~language_id.held_out()))
+    got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    mask, mult = 0xFFFFFFFF, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+    for doc, text in sf_rows[:60]:
+        t = [ord(c) if c.isalpha() else 32 for c in (text or "").lower()]
+        logp = model["prior"].copy()
+        for n in (1, 2, 3):
+            for i in range(len(t) - n + 1):
+                h = t[i] * mult[0] & mask
+                for k in range(1, n):
+                    h ^= h >> 15
+                    h = (h * mult[k % 3] + t[i + k]) & mask
+                h ^= h >> 13
+                logp += model["weights"][:, (h * mult[(n + 1) % 3] & mask) >> (32 - model["bits"])]
+        want = np.exp(logp - logp.max())
+        assert got[doc].lang_pred == model["languages"][int(want.argmax())]
+        assert got[doc].score == pytest.approx(want.max() / want.sum(), abs=1e-3)
+
+
+def test_quality_scores_by_hand(docs, labels, sf_rows):
+    """Scores again: each statistic's bin looked up in a loop."""
+    model = quality_pu.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality_pu.quality_scores(docs, labels).collect()}
+    for doc, text in sf_rows:
+        z, base = model["weights"][-1], 0
+        for value, edges in zip(quality_pu.statistics(text or ""), model["edges"], strict=True):
+            z += model["weights"][base + sum(e < value for e in edges)]
+            base += len(edges) + 1
+        assert got[doc] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_quality_never_reads_negatives(tenth):
+    docs, labels = tenth
+    a, b = quality_pu.train(docs, labels), quality_pu.train(docs, labels.where("quality = 1"))
+    assert a["prior"] == b["prior"] and np.array_equal(a["weights"], b["weights"]) and 0.5 < a["prior"] < 0.98
+
+
+def test_rules_by_hand(docs, labels, sf_rows):
+    """Verdicts again: the learnt rules applied in a loop to plainly computed ratios."""
+    text = dict(sf_rows)
+    rules = quality_rules.learned(docs, labels)
+    for r in quality_rules.quality_rules(docs, labels).collect():
+        n, chars, symbols, dup, rep = brute.base_statistics(text[r.doc_id])
+        words = brute.WORD.findall(text[r.doc_id] or "")
+        lines = [x for x in (text[r.doc_id] or "").split("\n") if brute.WORD.search(x)]
+        upper = sum(c.isupper() and not c.istitle() or c.isupper() for c in text[r.doc_id] or "")
+        x = {"n_words": n, "mean_word": chars / max(n, 1), "symbol_ratio": symbols / max(chars, 1), "dup_line_ratio": dup / max(len(lines), 1),
+             "repeat_ratio": rep / max(n, 1), "distinct_ratio": len(set(words)) / max(n, 1), "upper_ratio": upper / max(chars, 1)}
+        fires = any(all(x[a] <= t if op == "<=" else x[a] > t for a, op, t in rule) for rule in rules)
+        failed = n < 20 or 100 * rep > 30 * n
+        assert (r.base_failed, r.kept) == (failed, not failed and not fires)
