@@ -148,6 +148,18 @@ def test_substring_dedup_of_periodic_and_shifted_text(spark):
         assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id], r
 
 
+def test_substring_dedup_of_words_that_weak_hashes_confuse(spark):
+    """Words, and passages of words, built by the Thue-Morse rule: sums of powers modulo 2**64 give them one value."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    shared = " ".join(f"s{i}" for i in range(34))
+    rows = [(1, f"{shared} {one}"), (2, f"{shared} {other}"), (3, " ".join("xy"[b] for b in bits[:1024])), (4, " ".join("yx"[b] for b in bits[:1024]))]
+    want = brute.long_repeats(rows)
+    assert want[1][1] == want[2][1] == 0
+    for r in substring_dedup.drop_long_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id]
+
+
 def test_jaccard_join(docs, sf_rows):
     want = brute.near(sf_rows)
     for r in jaccard_join.jaccard_join(docs).collect():
