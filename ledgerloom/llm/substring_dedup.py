@@ -1,7 +1,8 @@
 """Long repeated passages by recompression.
 
 First all documents are sieved: hashes stand for names, and where an anchor of a stretch of words occurs only once
-the stretch can't repeat. Equal segments of what is left become one. Then Spark names globally, in rounds: each
+the stretch can't repeat. What is left is cut into blocks where the words say so; equal blocks become one, so that
+near copies are read once but for the blocks that differ. Then Spark names globally, in rounds: each
 distinct word, each distinct run of one symbol, each distinct pair of symbols gets one name, so equal passages get
 equal interior symbols everywhere. A boundary between symbols that survives the rounds depends on a few words to
 either side. Every window of words takes as anchor, among the boundaries whose dependence lies inside the window,
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,8 +175,27 @@ def _anchors(size: int, rounds: int):
     return run
 
 
+_BLOCK_WORDS = 96
+
+
+def _cuts(p: Parsed, a: int, b: int) -> list[int]:
+    """Where the blocks of the words [a, b) begin: about every _BLOCK_WORDS words, where the words that follow say so.
+
+    A block reaches size - 1 words into the next one: each window lies in the block in which it starts, and only there.
+    """
+    if b - a < 2 * p.size:
+        return [a]
+    at = np.arange(a + 1, b - p.size + 1)
+    said = at[p._sums(at, at + 8) % np.uint64(_BLOCK_WORDS) == 0].tolist()
+    out = [a]
+    for x in said:
+        if x - out[-1] >= _BLOCK_WORDS // 2:
+            out.append(x)
+    return out
+
+
 def _segments(size: int, rounds: int):
-    """(doc_id, th, text, keys) -> (doc_id, th, a, name, body): ranges of words that stretches with one of the keys cover.
+    """(doc_id, th, text, keys) -> (doc_id, th, a, name, body): blocks of words that stretches with one of the keys cover.
 
     name is the SHA-256 digest of body, the words joined by one blank.
     """
@@ -195,10 +216,16 @@ def _segments(size: int, rounds: int):
                 cut[1:] = (text[1:] != text[:-1]) | (a[1:] > b[:-1])
                 at = np.flatnonzero(cut)
                 last = np.append(at[1:], len(pick)) - 1 if len(at) else at
-                bodies = [b" ".join(raw[begin[x] : end[y - 1]].split()) for x, y in zip(a[at].tolist(), b[last].tolist(), strict=True)]
+                rows, place, bodies = [], [], []
+                for k, x, y in zip(text[at].tolist(), a[at].tolist(), b[last].tolist(), strict=True):
+                    heads = _cuts(p, x, y)
+                    for u, v in zip(heads, [*(c + size - 1 for c in heads[1:]), y], strict=True):
+                        rows.append(start + k)
+                        place.append(u - int(first[k]))
+                        bodies.append(b" ".join(raw[begin[u] : end[v - 1]].split()))
                 digests = pa.array([hashlib.sha256(x).digest() for x in bodies], pa.binary())
-                rows = pa.array(start + text[at])
-                columns = [batch.column(0).take(rows), batch.column(1).take(rows), _ints(a[at] - first[text[at]], pa.int32()), digests, pa.array(bodies, pa.binary())]
+                rows = pa.array(rows, pa.int64())
+                columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place, pa.int32()), digests, pa.array(bodies, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -268,7 +295,7 @@ def _words_named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk, segs, copies, bodies, reply in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             split = [b.split() for b in bodies]
-            number = dict(zip(sorted(set().union(*split)), (r["name"] for r in reply), strict=True))
+            number = dict(zip(sorted(set().union(*split)), np.frombuffer(reply, "<i8").tolist(), strict=True))
             first = np.cumsum([0, *map(len, split)]).tolist()
             names = np.array([number[w] for words in split for w in words], "<u8")
             yield _state([chunk, segs, copies, first, [names.tobytes()]])
@@ -319,27 +346,66 @@ def _blocks_named(r: int):
                 arrays = _arrays(names)
                 stay, closed, _, _, inverse = _blocks(arrays, np.array(first), r)
                 fresh = arrays[r][stay[:-1]].copy()
-                fresh[closed] = np.array([x["name"] for x in reply or ()], "<u8")[inverse]
+                fresh[closed] = np.frombuffer(reply or b"", "<u8")[inverse]
                 yield _state([chunk, segs, copies, first, [*names, fresh.tobytes()]])
 
     return run
 
 
+def _numbered(level: int):
+    """Rows (chunk, k, x...) in order of x... -> (chunk, k, name): equal values, which follow each other, have one name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, before = (level << _LEVEL_BITS) + (TaskContext.get().partitionId() << 33), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for column in batch.columns[2:]:
+                new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            values = [c[0].as_py() for c in batch.columns[2:]]
+            new[0] = before is not None and values != before
+            names = name + np.cumsum(new)
+            name, before = int(names[-1]), [c[-1].as_py() for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.int64())], names=["chunk", "k", "name"])
+
+    return run
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, k, name) in this order -> (chunk, reply): the names of each chunk as little-endian 64-bit numbers."""
+    now, parts = None, []
+
+    def sent() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([b"".join(parts)], pa.binary())], names=["chunk", "reply"])
+
+    for batch in batches:
+        chunk, names = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        at = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else []
+        for i, j in zip(at, [*at[1:], len(chunk)]):
+            if now is not None and int(chunk[i]) != now:
+                yield sent()
+                parts = []
+            now = int(chunk[i])
+            parts.append(names[i:j].astype("<i8").tobytes())
+    if parts:
+        yield sent()
+
+
 def _answers(asked: DataFrame, level: int, *by: str) -> DataFrame:
     """(chunk, reply): to each chunk, in order of k, one name for each distinct value that it asked for.
 
-    A chunk asks for a value once, so that the most frequent one has a row for each chunk.
+    Spark brings equal values together and sorts them, so a value's name follows from its task and its place there.
+    A chunk asks for a value once: the most frequent one has no more rows than there are chunks.
     """
-    asked = written(asked)
-    fresh = F.monotonically_increasing_id() + F.lit(level << _LEVEL_BITS)
-    names = written(asked.select(*by).distinct().withColumn("name", fresh), False)  # written, so that a name never changes
-    replies = asked.join(names, list(by)).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("k", "name"))).alias("reply"))
-    return replies
+    names = asked.repartition(*by).sortWithinPartitions(*by).mapInArrow(_numbered(level), "chunk long, k int, name long")
+    return names.repartition("chunk").sortWithinPartitions("chunk", "k").mapInArrow(_packed, "chunk long, reply binary")
 
 
 def named(segments: DataFrame, rounds: int, chunk_bytes: int) -> DataFrame:
     """The state of all chunks of segments(seg, copies, body) after the rounds: chunk, segs, copies, first, names by level."""
-    chunks = written(segments.select("seg", "copies", "body").mapInArrow(_chunks(chunk_bytes), "chunk long, segs array<long>, copies array<long>, bodies array<binary>"))
+    packed = segments.select("seg", "copies", "body").mapInArrow(_chunks(chunk_bytes), "chunk long, segs array<long>, copies array<long>, bodies array<binary>")
+    chunks = written(packed)
     replies = _answers(chunks.mapInArrow(_words_asked, "chunk long, k int, x binary"), 0, "x")
     state = written(chunks.join(replies, "chunk").select("chunk", "segs", "copies", "bodies", "reply").mapInArrow(_words_named, _STATE))
     for r in range(rounds):
