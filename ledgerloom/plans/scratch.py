@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a temporary folder is set only where it is unset, as in tests."""
+    """spark.checkpoint.dir as the session has it; where it is unset, a temporary folder in local mode and an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -22,10 +24,22 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Remove the tables that this application has written, once no result needs them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, own_dir(spark))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that `written` gave back, once what was made of them is written too."""
+    for table in tables:
+        folder = getattr(table, "_scratch_folder", None)
+        if folder:
+            _remove(table.sparkSession, folder)
 
 
 def written(df: DataFrame, release: bool = True) -> DataFrame:
@@ -42,4 +56,6 @@ def written(df: DataFrame, release: bool = True) -> DataFrame:
     if release:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table._scratch_folder = path
+    return table
