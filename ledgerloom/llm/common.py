@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scratch import shared_dir, written  # noqa: F401
+from ..plans.scratch import discard, shared_dir, written  # noqa: F401
 
 #: Characters that separate words: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers, salted_join, text_slices, word_hashes, written
+from .common import discard, mix, powers, salted_join, text_slices, word_hashes, written
 
 _BASE = 0xF1357AEA2E62A9C5
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -242,7 +242,9 @@ def candidates(rows: DataFrame, size: int, rounds: int) -> DataFrame:
     hits = salted_join(keys.drop("n"), shared, "key", "_n").groupBy("doc_id", "th").agg(F.collect_set("key").alias("keys"))
     hits = hits.withColumnsRenamed({"doc_id": "_d", "th": "_t"})
     some = rows.join(hits, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "th", "text", "keys")
-    return written(some.mapInArrow(_segments(size, rounds), "doc_id long, th long, a int, name binary, body binary"))
+    found = written(some.mapInArrow(_segments(size, rounds), "doc_id long, th long, a int, name binary, body binary"))
+    discard(keys)
+    return found
 
 
 # --- rounds of global naming: over chunks of distinct segments
@@ -408,10 +410,12 @@ def named(segments: DataFrame, rounds: int, chunk_bytes: int) -> DataFrame:
     chunks = written(packed)
     replies = _answers(chunks.mapInArrow(_words_asked, "chunk long, k int, x binary"), 0, "x")
     state = written(chunks.join(replies, "chunk").select("chunk", "segs", "copies", "bodies", "reply").mapInArrow(_words_named, _STATE))
+    discard(chunks)
     for r in range(rounds):
         replies = _answers(state.mapInArrow(_blocks_asked(r), "chunk long, k int, x long, y long"), r + 1, "x", "y")
         asked = state.join(replies, "chunk", "left").select(*state.columns, "reply")
-        state = written(asked.mapInArrow(_blocks_named(r), _STATE))
+        before, state = state, written(asked.mapInArrow(_blocks_named(r), _STATE))
+        discard(before)
     return state
 
 
@@ -498,13 +502,16 @@ def repeated_ranges(rows: DataFrame, size: int, rounds: int, chunk_bytes: int) -
     segments = written(segments.withColumn("seg", F.monotonically_increasing_id()))
     if not segments.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         raise ValueError("two segments share a SHA-256 digest")
+    places = written(found.select("doc_id", "th", "a", "name"))
+    discard(found)
     state = named(segments, rounds, chunk_bytes)
+    bodies, segments = segments, written(segments.select("seg", "name", "copies", F.size(F.split(F.col("body").cast("string"), " ")).alias("n_words")))
+    discard(bodies)
     inside = repeats_within(state, size, rounds).groupBy("seg").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
-    n_words = F.size(F.split(F.col("body").cast("string"), " "))
-    everything = F.array(F.struct(F.lit(0).alias("a"), n_words.alias("b")))
+    everything = F.array(F.struct(F.lit(0).alias("a"), F.col("n_words").alias("b")))
     by_name = segments.join(inside, "seg", "left").select("name", "copies", F.when(F.col("copies") > 1, everything).otherwise(F.col("ranges")).alias("ranges"))
     by_name = by_name.where("ranges IS NOT NULL").mapInArrow(_merged, "name binary, copies long, ranges array<struct<a:int,b:int>>")
-    placed = salted_join(found.select("doc_id", "th", "a", "name"), by_name, "name", "copies")
+    placed = salted_join(places, by_name, "name", "copies")
     moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("a")).alias("a"), (r["b"] + F.col("a")).alias("b")))
     return placed.select("doc_id", "th", moved.alias("ranges")).groupBy("doc_id", "th").agg(F.flatten(F.collect_set("ranges")).alias("ranges"))
 
