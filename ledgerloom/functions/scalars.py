@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COIN = 100_000_000
@@ -21,23 +21,23 @@ ERAS = (
 PREMINE, GENESIS_ERA = 6_000_100_000_000, 25_000_000_000
 
 
-def era_dim(spark: SparkSession) -> DataFrame:
-    """(lo, hi, reward, staker): the reward of heights with lo < height <= hi. 17 rows, whatever the ledger's size."""
-    bounds = [(lo, hi, r) for (lo, r), hi in zip(ERAS, [1 << 40, *(lo for lo, _ in ERAS)], strict=False)]
-    bounds += [(0, 1, PREMINE), (-(1 << 40), 0, GENESIS_ERA)]
-    rows = []
-    for lo, hi, r in bounds:
-        if lo < POS_START - 1 < hi:
-            rows += [(lo, POS_START - 1, r, 0), (POS_START - 1, hi, r, r // 2)]
-        else:
-            rows.append((lo, hi, r, 0 if hi < POS_START else 400_000_000 if lo >= 3_715_200 else 200_000_000 if lo >= 1_153_160 else r // 2))
-    return spark.createDataFrame(rows, "era_lo long, era_hi long, era_reward long, era_staker long")
+def era_reward(height: Column) -> Column:
+    """The block reward at a height; null for a null height."""
+    out = F.when(height.isNull(), F.lit(None).cast("long"))
+    for low, reward in ERAS:
+        out = out.when(height > low, F.lit(reward).cast("long"))
+    return out.when(height == 1, F.lit(PREMINE).cast("long")).otherwise(F.lit(GENESIS_ERA).cast("long"))
+
+
+def era_staker(height: Column) -> Column:
+    """The staker's share at a height: none before staking, fixed in the last two eras, half of the reward between."""
+    share = F.when(height.isNull(), F.lit(None).cast("long")).when(height < POS_START, F.lit(0).cast("long"))
+    return share.when(height > 3_715_200, 400_000_000).when(height > 1_153_160, 200_000_000).otherwise(div(era_reward(height), 2))
 
 
 def with_era(df: DataFrame, height: str = "era_height") -> DataFrame:
-    """df with era_reward and era_staker of its height: a broadcast range join with the fixed era rows."""
-    era = F.broadcast(era_dim(df.sparkSession))
-    return df.join(era, (F.col(height) > F.col("era_lo")) & (F.col(height) <= F.col("era_hi"))).drop("era_lo", "era_hi")
+    """df with era_reward and era_staker of its height: two conditional expressions, no join; rows without a height stay."""
+    return df.withColumns({"era_reward": era_reward(F.col(height)), "era_staker": era_staker(F.col(height))})
 
 
 def difficulty(nbits) -> Column:

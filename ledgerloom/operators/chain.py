@@ -9,25 +9,31 @@ from ..functions.scalars import block_work
 from ..plans.scratch import written
 
 
-def cumulative_work(chain: DataFrame, rounds: int = 32) -> DataFrame:
+#: Pointer doubling ends within this many rounds, unless the links form a cycle.
+_MOST_ROUNDS = 64
+
+
+def cumulative_work(chain: DataFrame) -> DataFrame:
     """(block_hash, prev_hash, height, work) of all blocks that reach a block without prev_hash, by pointer doubling.
 
-    After round k each block knows the sum over up to 2**k ancestors; a chain of a million blocks takes 20 joins.
-    Each round is written, so that no plan grows with the depth.
+    After round k each block knows the sum over up to 2**k ancestors; a chain of a million blocks takes 20 joins. Only
+    blocks that haven't reached the root yet are joined. A block whose ancestor is missing is left out; a cycle is an
+    error. Each round is written, so that no plan grows with the depth.
     """
-    start = chain.select("block_hash", "prev_hash", block_work(F.col("nbits")).alias("work"))
-    now = start.select("block_hash", F.col("prev_hash").alias("up"), "work", F.lit(1).cast("long").alias("hops"))
-    for _ in range(rounds):
-        now = written(now, False)
-        if now.where("up IS NOT NULL").isEmpty():
+    start = chain.select("block_hash", F.col("prev_hash").alias("up"), block_work(F.col("nbits")).alias("work"))
+    now = written(start.withColumn("hops", F.lit(1).cast("long")), False)
+    for _ in range(_MOST_ROUNDS):
+        todo = now.where("up IS NOT NULL")
+        if todo.isEmpty():
             break
         above = now.select(F.col("block_hash").alias("up"), F.col("up").alias("_up"), F.col("work").alias("_w"), F.col("hops").alias("_h"))
-        j = now.join(above, "up", "left")
-        # A parent that is missing ends the walk without a root: such blocks keep an `up` that joins nothing.
-        now = j.where(F.col("up").isNull() | F.col("_h").isNotNull()).select(
-            "block_hash", F.col("_up").alias("up"), (F.col("work") + F.coalesce("_w", F.lit(0))).cast("decimal(38,0)").alias("work"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops")
-        )
-    return now.join(chain.select("block_hash", "prev_hash"), "block_hash").select("block_hash", "prev_hash", (F.col("hops") - 1).alias("height"), "work")
+        summed = (F.col("work") + F.col("_w")).cast("decimal(38,0)").alias("work")
+        moved = todo.join(above, "up").select("block_hash", F.col("_up").alias("up"), summed, (F.col("hops") + F.col("_h")).alias("hops"))
+        now = written(now.where("up IS NULL").unionByName(moved), False)
+    else:
+        raise ValueError("the links between blocks form a cycle")
+    rooted = now.join(chain.select("block_hash", "prev_hash"), "block_hash")
+    return rooted.select("block_hash", "prev_hash", (F.col("hops") - 1).alias("height"), "work")
 
 
 def childless(chain: DataFrame) -> DataFrame:
@@ -40,20 +46,22 @@ def best_tip(worked: DataFrame) -> DataFrame:
     return childless(worked).orderBy(F.desc("work"), "block_hash").limit(1)
 
 
-def canonical_chain(chain: DataFrame, worked: DataFrame, rounds: int = 32) -> DataFrame:
+def canonical_chain(chain: DataFrame, worked: DataFrame) -> DataFrame:
     """(height, block_hash) of the best tip and its ancestors.
 
-    The marked set doubles each round: jump tables of 2**k steps carry marks from marked blocks to ancestors.
+    The marked set doubles each round; a cycle is an error: jump tables of 2**k steps carry marks from marked blocks to ancestors.
     """
     jump = written(chain.where("prev_hash IS NOT NULL").select("block_hash", F.col("prev_hash").alias("up")), False)
     marked = best_tip(worked).select("block_hash")
-    for _ in range(rounds):
+    for _ in range(_MOST_ROUNDS):
         marked = written(marked, False)
         if jump.isEmpty():
             break
         marked = marked.unionByName(marked.join(jump, "block_hash").select(F.col("up").alias("block_hash"))).distinct()
         step = jump.select(F.col("block_hash").alias("up"), F.col("up").alias("_up"))
         jump = written(jump.join(step, "up").select("block_hash", F.col("_up").alias("up")), False)
+    else:
+        raise ValueError("the links between blocks form a cycle")
     return worked.join(marked, "block_hash", "left_semi").select("height", "block_hash")
 
 

@@ -154,9 +154,9 @@ def days(L: Ledger) -> DataFrame:
 # --- A: sources
 
 
-@query("SELECT txid, height, tx_index, ty FROM tx WHERE height >= 100")
+@query("SELECT txid, height, tx_index, ty FROM tx WHERE height >= 0")
 def ledger_scan(L):
-    return L.tx.where("height >= 100").select("txid", "height", "tx_index", "ty")
+    return L.tx.where("height >= 0").select("txid", "height", "tx_index", "ty")
 
 
 @query("SELECT height, ntime, nbits FROM canonical JOIN chain c USING (block_hash)")
@@ -407,15 +407,24 @@ def output_spent_flag(L):
     return J.spent_flags(L.out, L.tx, utxo(L), totals(L))
 
 
-@query("SELECT DISTINCT address FROM (SELECT address, height FROM credit UNION ALL SELECT address, height FROM debit) WHERE height BETWEEN 100 AND 120")
+#: Batches of consecutive blocks, as the operators that take a set of blocks are given them.
+BATCH_BLOCKS = 20
+
+
+def batch_of(height="height"):
+    return S.div(F.col(height), BATCH_BLOCKS).alias("batch")
+
+
+@query(f"SELECT DISTINCT height // {BATCH_BLOCKS} AS batch, address FROM (SELECT address, height FROM credit UNION ALL SELECT address, height FROM debit)")
 def touched_addresses(L):
-    return credit(L).select("address", "height").unionByName(debit(L).select("address", "height")).where("height BETWEEN 100 AND 120").select("address").distinct()
+    """The addresses that each batch of blocks touches."""
+    return credit(L).select(batch_of(), "address").unionByName(debit(L).select(batch_of(), "address")).distinct()
 
 
-@query("SELECT t.* FROM totals t WHERE address IN (SELECT address FROM credit WHERE height BETWEEN 100 AND 120)")
+@query(f"SELECT batch, t.* FROM (SELECT DISTINCT height // {BATCH_BLOCKS} AS batch, address FROM credit) JOIN totals t USING (address)")
 def totals_of_subset(L):
-    some = credit(L).where("height BETWEEN 100 AND 120").select("address").distinct()
-    return A.address_totals(credit(L).join(some, "address", "left_semi"), debit(L).join(some, "address", "left_semi"))
+    """The totals of the addresses that each batch of blocks credits."""
+    return credit(L).select(batch_of(), "address").distinct().join(totals(L), "address")
 
 
 @query("""SELECT a.txid, CASE WHEN b.height IS NOT NULL THEN 'block' WHEN t.txid IS NOT NULL THEN 'tx' ELSE 'not-found' END AS found
@@ -651,11 +660,10 @@ def address_deltas(L):
     return f.groupBy("address", "txid").agg(F.sum(F.col("received") - F.col("spent")).alias("delta"))
 
 
-@query("SELECT t.txid, i.address AS src, o.address AS dst, CAST(sum(o.value) AS BIGINT) AS value FROM tx t JOIN (SELECT DISTINCT txid, address FROM debit) i USING (txid) JOIN credit o USING (txid) WHERE t.height BETWEEN 100 AND 140 GROUP BY ALL")
+@query("SELECT t.txid, i.address AS src, o.address AS dst, CAST(sum(o.value) AS BIGINT) AS value FROM tx t JOIN (SELECT DISTINCT txid, address FROM debit) i USING (txid) JOIN credit o USING (txid) GROUP BY ALL")
 def value_flow_edges(L):
-    some = lambda df: df.where("height BETWEEN 100 AND 140")
-    src = some(debit(L)).select("txid", F.col("address").alias("src")).distinct()
-    return src.join(some(credit(L)).select("txid", F.col("address").alias("dst"), "value"), "txid").groupBy("txid", "src", "dst").agg(wide("value").cast("long").alias("value"))
+    src = debit(L).select("txid", F.col("address").alias("src")).distinct()
+    return src.join(credit(L).select("txid", F.col("address").alias("dst"), "value"), "txid").groupBy("txid", "src", "dst").agg(wide("value").cast("long").alias("value"))
 
 
 @query("SELECT count(*) AS payouts, CAST(coalesce(sum(treasury), 0) AS BIGINT) AS total FROM ptx WHERE treasury > 0")
@@ -738,9 +746,9 @@ def complete_days(L):
 
 @query("""SELECT account, chain, idx, address, used AS is_used FROM (SELECT *, min(CASE WHEN idx - last > 5 THEN idx ELSE 1000000 END) OVER (PARTITION BY account, chain) AS stop FROM (
   SELECT a.*, t.address IS NOT NULL AS used, coalesce(max(CASE WHEN t.address IS NOT NULL THEN idx END) OVER (PARTITION BY account, chain ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS last
-  FROM account_address a LEFT JOIN (SELECT address FROM totals WHERE received % 3 = 0) t USING (address) WHERE idx < 1000)) WHERE idx < stop""")
+  FROM account_address a LEFT JOIN (SELECT address FROM totals WHERE received > 0) t USING (address) WHERE idx < 1000)) WHERE idx < stop""")
 def gap_limit_scan(L):
-    return A.gap_scan(L.account_address, totals(L).where("received % 3 = 0").select("address"), 5)
+    return A.gap_scan(L.account_address, totals(L).where("received > 0").select("address"), 5)
 
 
 @query("SELECT c.height, c.block_hash, p.block_hash AS prev_block, n.block_hash AS next_block FROM canonical c LEFT JOIN canonical p ON p.height = c.height - 1 LEFT JOIN canonical n ON n.height = c.height + 1")
@@ -875,9 +883,10 @@ def hodl_report(L):
 # --- J: incremental, in their batch form
 
 
-@query("SELECT prev_txid, prev_vout, count(*) AS n FROM inp JOIN tx USING (txid) WHERE height BETWEEN 200 AND 260 GROUP BY ALL")
+@query(f"SELECT height // {BATCH_BLOCKS} AS batch, prev_txid, prev_vout, count(*) AS n FROM inp JOIN tx USING (txid) GROUP BY ALL")
 def batch_spent_set(L):
-    return L.inp.join(L.tx.where("height BETWEEN 200 AND 260").select("txid"), "txid", "left_semi").groupBy("prev_txid", "prev_vout").agg(F.count("*").alias("n"))
+    """The outputs that each batch of blocks spends."""
+    return L.inp.join(L.tx.select("txid", batch_of()), "txid").groupBy("batch", "prev_txid", "prev_vout").agg(F.count("*").alias("n"))
 
 
 @query("SELECT txid, CASE WHEN height > (SELECT tip FROM tip) - 200 THEN -1 ELSE height END AS height FROM tx")

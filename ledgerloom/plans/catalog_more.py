@@ -83,10 +83,10 @@ def supply_snapshot(L):
     return s.select(F.col("a").cast("long").alias("transparent"), F.col("b").cast("long").alias("staked"), F.when(F.col("t") > 0, F.round(F.col("b").cast("double") * 100.0 / F.col("t").cast("double"), 6)).otherwise(0.0).alias("staked_pct"))
 
 
-@query("SELECT o.txid, o.vout FROM outs o WHERE o.txid % 3 = 0 AND EXISTS (SELECT 1 FROM inp i WHERE i.prev_txid = o.txid AND i.prev_vout = o.vout) AND NOT EXISTS (SELECT 1 FROM inp i JOIN tx USING (txid) WHERE i.prev_txid = o.txid AND i.prev_vout = o.vout AND tx.height < 100)")
+@query("SELECT o.txid, o.vout FROM outs o WHERE EXISTS (SELECT 1 FROM inp i WHERE i.prev_txid = o.txid AND i.prev_vout = o.vout) AND NOT EXISTS (SELECT 1 FROM inp i JOIN tx USING (txid) WHERE i.prev_txid = o.txid AND i.prev_vout = o.vout AND tx.height < 100)")
 def late_spends(L):
     spend = L.inp.join(L.tx.select("txid", "height"), "txid").select(F.col("prev_txid").alias("txid"), F.col("prev_vout").alias("vout"), "height")
-    return L.out.where("txid % 3 = 0").select("txid", "vout").join(spend.groupBy("txid", "vout").agg(F.min("height").alias("first")).where("first >= 100"), ["txid", "vout"], "left_semi")
+    return L.out.select("txid", "vout").join(spend.groupBy("txid", "vout").agg(F.min("height").alias("first")).where("first >= 100"), ["txid", "vout"], "left_semi")
 
 
 @query("SELECT height, date, treasury AS total_paid, era FROM (SELECT height, date, treasury, CASE WHEN ty = 2 THEN 'work' ELSE 'stake' END AS era FROM ptx JOIN block USING (height) WHERE treasury > 0)")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import daily as D
+from ..plans.scratch import discard, written
 
 ADDITIVE = (
     "tx_count", "tx_bytes", "sapling_txs", "coinbase", "coinstake", "payment", "volume", "stake_volume", "coldstake_txs",
@@ -39,29 +40,61 @@ class LiveDaily:
         version, _ = self.state()
         return self.spark.read.parquet(f"{self.root}/v{version}") if version else None
 
-    def _commit(self, daily: DataFrame, version: int, watermark: int) -> None:
+    def _waiting(self, version: int) -> DataFrame | None:
+        """Rows of heights that weren't whole yet at a version."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/p{version}")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.parquet(f"{self.root}/p{version}") if found else None
+
+    def _commit(self, daily: DataFrame, version: int, watermark: int, waiting: DataFrame | None = None) -> None:
         daily.write.mode("overwrite").parquet(f"{self.root}/v{version}")
-        self.spark.createDataFrame([(version, watermark)], "version int, watermark long").coalesce(1).write.mode("append").parquet(f"{self.root}/meta")
+        if waiting is not None:
+            waiting.write.mode("overwrite").parquet(f"{self.root}/p{version}")
+        meta = self.spark.createDataFrame([(version, watermark)], "version int, watermark long")
+        meta.coalesce(1).write.mode("append").parquet(f"{self.root}/meta")
 
     def apply(self, ptx: DataFrame, block: DataFrame) -> None:
-        """Add the rows above the watermark to their dates; replayed rows change nothing."""
+        """Add rows above the watermark to their dates; replayed rows change nothing.
+
+        The watermark is the last height up to which every block has all of its n_tx transactions. Rows above it, of
+        a block that came in part or after a gap, wait in the state for the batch that completes it.
+        """
         version, mark = self.state()
-        fresh = ptx.where(F.col("height") > mark)
+        held = self._waiting(version)
+        rows = ptx if held is None else held.unionByName(ptx, allowMissingColumns=True)
+        fresh = written(rows.where(F.col("height") > mark).dropDuplicates(["txid"]), False)
         top = fresh.agg(F.max("height")).first()[0]
         if top is None:
             return
-        add, old = day_deltas(fresh, block), self.daily()
-        both = add if old is None else old.unionByName(add)
-        self._commit(both.groupBy("date").agg(*(F.sum(c).cast(add.schema[c].dataType).alias(c) for c in ADDITIVE)), version + 1, top)
+        count = fresh.groupBy("height").agg(F.count("*").alias("_n"))
+        due = block.where((F.col("height") > mark) & (F.col("height") <= top)).select("height", "n_tx").join(count, "height", "left")
+        gap = due.where(F.coalesce("_n", F.lit(0)) < F.col("n_tx")).agg(F.min("height")).first()[0]
+        reached = top if gap is None else gap - 1
+        old = self.daily()
+        if reached <= mark and old is None and version == 0:
+            old = day_deltas(fresh.where("false"), block)
+        if reached > mark:
+            add = day_deltas(fresh.where(F.col("height") <= reached), block)
+            both = add if old is None else old.unionByName(add)
+            old = both.groupBy("date").agg(*(F.sum(c).cast(add.schema[c].dataType).alias(c) for c in ADDITIVE))
+        self._commit(old, version + 1, max(reached, mark), fresh.where(F.col("height") > max(reached, mark)))
+        discard(fresh)
 
     def rewind(self, fork_height: int, block: DataFrame, max_blocks: int = 4320) -> bool:
-        """Drop the dates from one day before the fork's on, so that replaying from there is right. False asks for a full rebuild."""
+        """Drop the dates from one day before the fork's on, so that replaying from there is right. False asks for a full rebuild.
+
+        The date is that of the first block above the fork that the table has. Rows that wait are dropped too: the
+        replay brings them again.
+        """
         version, mark = self.state()
         if mark <= fork_height:
             return True
         if mark - fork_height > max_blocks:
             return False
-        fork_date = block.where(F.col("height") == fork_height + 1).select(F.date_format(F.date_sub(F.to_date("date"), 1), "yyyy-MM-dd")).first()[0]
+        above = block.where(F.col("height") > fork_height).agg(F.min_by("date", "height").alias("date"))
+        fork_date = above.select(F.date_format(F.date_sub(F.to_date("date"), 1), "yyyy-MM-dd")).first()[0]
+        if fork_date is None:  # the table ends at the fork: only its own last date is in doubt
+            fork_date = block.agg(F.max("date")).first()[0]
         first = block.where(F.col("date") >= fork_date).agg(F.min("height")).first()[0]
         late = block.where(F.col("height") >= first).select("date").distinct()
         # A date that holds both earlier and later blocks must be rebuilt whole, so the first height moves down to its start.

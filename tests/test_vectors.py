@@ -16,10 +16,13 @@ def balances(spark, *rows):
     return spark.createDataFrame(list(rows), "address string, balance long")
 
 
-def test_ties_go_by_address(spark):
-    t = balances(spark, *((a, 100) for a in ("mike", "zeta", "alpha", "bravo")))
-    assert [r.address for r in V.rich_list(t).orderBy("rank").collect()] == ["alpha", "bravo", "mike", "zeta"]
-    assert [r.address for r in V.rich_list(balances(spark, ("c", 50), ("a", 50), ("b", 50)), 2).orderBy("rank").collect()] == ["a", "b"]
+def test_equal_balances_rank_in_address_order(spark):
+    """Twelve holders on three levels of balance, given in descending order: within a level the address decides."""
+    names = [f"h{k:02}" for k in range(12)]
+    held = [(n, 7 * (1 + k % 3)) for k, n in enumerate(names)]
+    want = [n for level in (21, 14, 7) for n, b in held if b == level]
+    assert [r.address for r in V.rich_list(balances(spark, *reversed(held))).orderBy("rank").collect()] == want
+    assert [r.address for r in V.rich_list(balances(spark, *held), 5).orderBy("rank").collect()] == want[:5]
 
 
 def test_wide_sums_and_whale(spark):
