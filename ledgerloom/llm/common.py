@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,7 +125,8 @@ _WORD_POWERS = powers(0xD6E8FEB86659FD93, 64)
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """64-bit hashes of all words; per text the index of its first word, with the end; words' byte starts and ends; the bytes.
 
-    The texts are joined by a space, so that no word spans two of them.
+    The texts are joined by a space, so that no word spans two of them. A word of up to 64 bytes is a sum of its bytes
+    times powers; such sums of longer words can be made to agree by a rule, so these are digested by BLAKE2b.
     """
     raw = " ".join(texts).encode("utf-8", "surrogatepass")
     data = np.frombuffer(raw, np.uint8)
@@ -141,12 +143,13 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     length = ends - starts
     place = np.arange(len(data), dtype=np.int64)
     place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(data))))
-    weight = _WORD_POWERS if int(length.max()) <= len(_WORD_POWERS) else powers(int(_WORD_POWERS[1]), int(length.max()) + 1)
     value = _RANDOM[data]
-    value *= weight[np.minimum(place, len(weight) - 1)]
+    value *= _WORD_POWERS[np.minimum(place, len(_WORD_POWERS) - 1)]
     value[_IS_SPACE[data]] = 0
     hashes = np.add.reduceat(value, starts)
     hashes ^= length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in np.flatnonzero(length > len(_WORD_POWERS)).tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]], digest_size=8).digest(), "little")
     return mix(hashes), first, starts, ends, raw
 
 

@@ -262,3 +262,13 @@ def test_words_are_cut_at_the_same_places():
     words = [w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t)]
     assert [raw[a:b].decode() for a, b in zip(starts, ends)] == words and len(set(h.tolist())) == len(set(words))
     assert np.diff(first).tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts]
+
+
+def test_words_built_to_collide_as_sums_have_different_hashes():
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    for n in (64, 1024, 2048):
+        h = word_hashes([f"x {a[:n]}", f"x {b[:n]} {a[:n]}"])[0]
+        assert h[1] != h[3] and h[1] == h[4] and h[0] == h[2]
