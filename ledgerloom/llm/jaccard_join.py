@@ -124,7 +124,7 @@ def buckets(nodes: DataFrame, depth: int, first_level: int, small: int) -> DataF
     leaves = None
     for level in range(first_level, depth):
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
-        sized = written(rows.join(sizes, "bucket"))
+        sized = written(salted_join(rows, sizes, "bucket", "size"))
         last = level == depth - 1
         done = sized if last else sized.where(F.col("size") <= small)
         leaves = done if leaves is None else leaves.unionByName(done)
@@ -135,8 +135,8 @@ def buckets(nodes: DataFrame, depth: int, first_level: int, small: int) -> DataF
     marks = leaves.groupBy("bucket", "size", "weight").agg(
         F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y")
     )
-    once = marks.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return leaves.select("node", "bucket", "size", "weight").join(once, "bucket")
+    once = marks.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.col("size").alias("_n"))
+    return salted_join(leaves.select("node", "bucket", "size", "weight"), once, "bucket", "_n").drop("_n")
 
 
 def blocks_of(size: int, weight: int, block: int, most_shingles: int = 4 << 20) -> int:
