@@ -6,6 +6,7 @@ lengths and trimming limits are passed as small numbers.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +93,33 @@ hodl AS (
 """
 
 
+def _expressions(text: str) -> dict[str, str]:
+    """Each common table expression by name, in an order in which each uses only earlier ones."""
+    starts = list(re.finditer(r"^,?\s*(\w+) AS \(", text, re.M))
+    ends = [m.start() for m in starts[1:]] + [len(text)]
+    return {m[1]: "(" + text[m.end() : end].strip().rstrip(",") for m, end in zip(starts, ends)}
+
+
+EXPRESSIONS = _expressions(ADAPTER_SQL + MORE_SQL)
+
+#: Expressions that several others read: computed once, so that the planner doesn't put them inside each other.
+_ONCE = {"tx", "block", "outs", "inp", "joined", "credit", "debit", "unspent", "utxo", "totals", "ptx", "daily"}
+
+
+def with_expressions(sql: str) -> str:
+    """sql after those common table expressions that it needs, itself or through others; sql may begin with its own."""
+    words = lambda text: set(re.findall(r"\w+", text))
+    needed = words(sql) & set(EXPRESSIONS)
+    for name in reversed(EXPRESSIONS):
+        if name in needed:
+            needed |= words(EXPRESSIONS[name]) & set(EXPRESSIONS)
+    parts = [f"{name} AS {'MATERIALIZED ' if name in _ONCE else ''}{body}" for name, body in EXPRESSIONS.items() if name in needed]
+    own = sql.lstrip()
+    if own.startswith(","):
+        return "WITH RECURSIVE " + ",\n".join([*parts, own[1:].lstrip()])
+    return f"WITH {',\n'.join(parts)}\n{sql}" if parts else sql
+
+
 def query(sql: str | None):
     def register(f):
         name = f.__name__
@@ -99,7 +127,7 @@ def query(sql: str | None):
         QUERIES[name] = lambda spark, sf_dir: f(ingested(spark, sf_dir))
         QUERIES[name].__name__ = name
         if sql:
-            ORACLE_SQL[name] = f"WITH {ADAPTER_SQL}{MORE_SQL}{sql}"
+            ORACLE_SQL[name] = with_expressions(sql)
         return f
 
     return register
@@ -934,9 +962,22 @@ def passing_gate(L):
     return L.proposal.crossJoin(F.broadcast(e)).select("proposal_id", (y - n).alias("net"), G.passing(y, n, F.col("e")).alias("passing"), G.passing(y, n, F.col("e"), True).alias("passing_legacy"))
 
 
-@query(None)
+def allocation_sql(rows: str, cap: int = G.CAP) -> str:
+    """The expression `fold` over rows(cycle, proposal_id, net, amount, eligible), one step for each proposal."""
+    fits = f"k.eligible AND f.used + k.amount <= {cap}"
+    return f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY net DESC, proposal_id) AS r FROM ({rows})),
+fold AS (
+  SELECT DISTINCT cycle, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS proposal_id, '' AS outcome, CAST(0 AS BIGINT) AS spent_before, CAST(0 AS BIGINT) AS used FROM ranked
+  UNION ALL SELECT k.cycle, k.r, k.proposal_id, CASE WHEN NOT k.eligible THEN 'belowgate' WHEN {fits} THEN 'funded' ELSE 'cut' END, f.used, CAST(f.used + CASE WHEN {fits} THEN k.amount ELSE 0 END AS BIGINT)
+  FROM fold f JOIN ranked k ON k.cycle = f.cycle AND k.r = f.r + 1)
+"""
+
+
+_VOTED = "SELECT cycle, proposal_id, yeas - nays AS net, monthly_payment AS amount, yeas - nays > 100 AS eligible FROM proposal"
+
+
+@query(f"{allocation_sql(_VOTED)} SELECT cycle, proposal_id, outcome, spent_before FROM fold WHERE r > 0")
 def budget_allocation(L):
-    """A sequential fold in each cycle: held against a plain loop in the tests."""
     net = F.col("yeas") - F.col("nays")
     p = L.proposal.select("cycle", "proposal_id", net.alias("net"), F.col("monthly_payment").alias("amount"), (net > 100).alias("eligible"))
     return G.allocate(p)

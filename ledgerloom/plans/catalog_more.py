@@ -16,7 +16,7 @@ from ..operators import reports as R
 from ..operators import wealth as V
 from ..sources.ledger import COIN, wide
 from ..streaming import live
-from .catalog import _TALLY, credit, daily, days, debit, joined, ptx, query, tip, totals, utxo  # noqa: F401
+from .catalog import _TALLY, _VOTED, allocation_sql, credit, daily, days, debit, joined, ptx, query, tip, totals, utxo  # noqa: F401
 from .scratch import shared_dir
 
 
@@ -205,23 +205,36 @@ def rollback_utxos(L):
 # --- K: governance
 
 
-@query(None)
+_SPANNING = f"""SELECT cycle, proposal_id, yeas - nays AS net, monthly_payment AS amount, yeas - nays > 100 AS eligible FROM proposal
+  WHERE block_start <= (cycle + 1) * {S.BUDGET_CYCLE} AND (cycle + 1) * {S.BUDGET_CYCLE} <= block_end AND monthly_payment > 0"""
+
+
+@query(f"{allocation_sql(_SPANNING)} SELECT cycle, proposal_id, outcome, spent_before FROM fold WHERE r > 0")
 def funded_this_cycle(L):
-    """Passing proposals whose span holds the superblock of their cycle, allocated under the cap and a half."""
+    """Proposals whose span holds the superblock of their cycle, allocated under the cap.
+
+    The cap's half unit of tolerance admits nothing more here: payments are whole.
+    """
     net = F.col("yeas") - F.col("nays")
     sb = (F.col("cycle") + 1) * S.BUDGET_CYCLE
     live_ones = L.proposal.where((F.col("block_start") <= sb) & (sb <= F.col("block_end")) & (F.col("monthly_payment") > 0))
     return G.allocate(live_ones.select("cycle", "proposal_id", net.alias("net"), F.col("monthly_payment").alias("amount"), (net > 100).alias("eligible")), G.CAP)
 
 
-@query("SELECT proposal_id, CASE WHEN monthly_payment <= 0 THEN 'invalid' WHEN block_end <= 259200 THEN 'completed' WHEN yeas - nays <= 100 THEN 'failing' WHEN proposal_id % 2 = 0 THEN 'passing' ELSE 'passing-unfunded' END AS status FROM proposal")
+@query(f"""{allocation_sql(_SPANNING)} SELECT proposal_id, CASE WHEN monthly_payment <= 0 THEN 'invalid' WHEN block_end <= 259200 THEN 'completed' WHEN yeas - nays <= 100 THEN 'failing'
+  WHEN proposal_id IN (SELECT proposal_id FROM fold WHERE outcome = 'funded') THEN 'passing' ELSE 'passing-unfunded' END AS status FROM proposal""")
 def proposal_status(L):
-    p = L.proposal
-    return p.select("proposal_id", G.status(F.lit(259_200), F.col("block_end"), F.col("yeas") - F.col("nays") > 100, F.col("proposal_id") % 2 == 0, F.col("monthly_payment") > 0).alias("status"))
+    """A passing proposal is funded if the allocation of its cycle's superblock pays it."""
+    paid = funded_this_cycle(L).where("outcome = 'funded'").select("proposal_id", F.lit(True).alias("paid"))
+    p = L.proposal.join(paid, "proposal_id", "left")
+    return p.select("proposal_id", G.status(F.lit(259_200), F.col("block_end"), F.col("yeas") - F.col("nays") > 100, F.coalesce("paid", F.lit(False)), F.col("monthly_payment") > 0).alias("status"))
 
 
-@query("SELECT count(*) FILTER (a AND NOT b) AS added, count(*) FILTER (b AND NOT a) AS removed FROM (SELECT yeas > 400 AS a, nays < 100 AS b FROM proposal)")
+@query(f"""{allocation_sql(_VOTED)}, mine AS (SELECT cycle, proposal_id FROM proposal WHERE yeas > 400), paid AS (SELECT cycle, proposal_id FROM fold WHERE outcome = 'funded')
+  SELECT cycle, CAST(sum(added) AS BIGINT) AS added, CAST(sum(removed) AS BIGINT) AS removed FROM (
+    SELECT cycle, 1 AS added, 0 AS removed FROM mine ANTI JOIN paid USING (cycle, proposal_id) UNION ALL SELECT cycle, 0, 1 FROM paid ANTI JOIN mine USING (cycle, proposal_id)) GROUP BY cycle""")
 def selection_delta(L):
-    mine, funded = L.proposal.where("yeas > 400").select("proposal_id"), L.proposal.where("nays < 100").select("proposal_id")
-    n = lambda a, b, name: a.join(b, "proposal_id", "left_anti").agg(F.count("*").alias(name))
-    return n(mine, funded, "added").crossJoin(n(funded, mine, "removed"))
+    """Of each cycle: how many of the selected proposals the allocation doesn't fund, and of the funded ones aren't selected."""
+    net = F.col("yeas") - F.col("nays")
+    voted = L.proposal.select("cycle", "proposal_id", net.alias("net"), F.col("monthly_payment").alias("amount"), (net > 100).alias("eligible"))
+    return G.selection_delta(L.proposal.where("yeas > 400"), G.allocate(voted).where("outcome = 'funded'"))
