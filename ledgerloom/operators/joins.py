@@ -41,9 +41,11 @@ def debits(joined: DataFrame, tx: DataFrame) -> DataFrame:
 
 
 def spend_records(joined: DataFrame, tx: DataFrame) -> DataFrame:
+    """Each resolved spend: outpoint, value, heights, the spending transaction and its input's number, by outpoint."""
     spender = tx.select("txid", F.col("height").alias("spent_height"))
-    return joined.where("value IS NOT NULL").join(spender, "txid").select(
-        "prev_txid", "prev_vout", "value", F.col("prev_height").alias("created_height"), "spent_height", F.col("txid").alias("spent_by")
+    number = F.row_number().over(W.partitionBy("txid").orderBy("prev_txid", "prev_vout")) - 1  # on the join's own partitioning
+    return joined.join(spender, "txid").withColumn("spent_vin", number.cast("int")).where("value IS NOT NULL").select(
+        "prev_txid", "prev_vout", "value", F.col("prev_height").alias("created_height"), "spent_height", F.col("txid").alias("spent_by"), "spent_vin"
     )
 
 

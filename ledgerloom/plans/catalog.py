@@ -25,6 +25,7 @@ from ..sources.ledger import ADAPTER_SQL, COIN, Ledger, ingested, utc_date, wide
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+PLAIN_SQL: dict[str, str] = {}
 OPERATORS: dict[str, Callable[[Ledger], DataFrame]] = {}
 
 
@@ -127,6 +128,7 @@ def query(sql: str | None):
         QUERIES[name] = lambda spark, sf_dir: f(ingested(spark, sf_dir))
         QUERIES[name].__name__ = name
         if sql:
+            PLAIN_SQL[name] = sql
             ORACLE_SQL[name] = with_expressions(sql)
         return f
 
@@ -311,6 +313,16 @@ def tip_age(L):
     return j.select("height", F.greatest(F.col("now") - F.col("ntime"), F.lit(0)).alias("age"), (F.col("now") - F.col("ntime") > 1200).alias("stale"))
 
 
+def script_of():
+    """An output's upper-case hex script, made up from its fields."""
+    m = F.concat(F.md5(F.col("txid").cast("string").cast("binary")), F.substring(F.md5(F.col("vout").cast("string").cast("binary")), 1, 8))
+    c = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
+    return F.upper(
+        F.when(F.col("kind") == 2, c("76a97b63d114", m, "6714", m, "6888ac")).when(F.col("addr_a").startswith("D"), c("76a914", m, "88ac")).when(F.col("addr_a").isNotNull(), c("a914", m, "87"))
+        .when(F.col("value") == 0, "").when(F.col("vout") % 3 == 0, c("6a", m)).when(F.col("vout") % 3 == 1, c("21", m, F.substring(m, 1, 26), "ac")).otherwise(c("e076a914", m, "88ac"))
+    )
+
+
 _SCRIPTS = """SELECT txid, vout, upper(CASE WHEN kind = 2 THEN concat('76a97b63d114', m, '6714', m, '6888ac') WHEN addr_a LIKE 'D%' THEN concat('76a914', m, '88ac') WHEN addr_a IS NOT NULL THEN concat('a914', m, '87')
   WHEN value = 0 THEN '' WHEN vout % 3 = 0 THEN concat('6a', m) WHEN vout % 3 = 1 THEN concat('21', m, substr(m, 1, 26), 'ac') ELSE concat('e076a914', m, '88ac') END) AS script
   FROM (SELECT *, concat(md5(CAST(txid AS VARCHAR)), substr(md5(CAST(vout AS VARCHAR)), 1, 8)) AS m FROM outs)"""
@@ -320,13 +332,7 @@ _SCRIPTS = """SELECT txid, vout, upper(CASE WHEN kind = 2 THEN concat('76a97b63d
   WHEN script LIKE 'E076A914%88AC' AND length(script) = 52 THEN 'exchangeaddress' WHEN script LIKE 'A914%87' AND length(script) = 46 THEN 'scripthash' WHEN script LIKE '21%AC' AND length(script) = 70 THEN 'pubkey' WHEN script LIKE '6A%' THEN 'nulldata' ELSE 'unknown' END AS script_type
   FROM ({_SCRIPTS})""")
 def script_types(L):
-    m = F.concat(F.md5(F.col("txid").cast("string").cast("binary")), F.substring(F.md5(F.col("vout").cast("string").cast("binary")), 1, 8))
-    c = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
-    script = (
-        F.when(F.col("kind") == 2, c("76a97b63d114", m, "6714", m, "6888ac")).when(F.col("addr_a").startswith("D"), c("76a914", m, "88ac")).when(F.col("addr_a").isNotNull(), c("a914", m, "87"))
-        .when(F.col("value") == 0, "").when(F.col("vout") % 3 == 0, c("6a", m)).when(F.col("vout") % 3 == 1, c("21", m, F.substring(m, 1, 26), "ac")).otherwise(c("e076a914", m, "88ac"))
-    )
-    return L.out.select("txid", "vout", S.script_type(F.upper(script)).alias("script_type"))
+    return L.out.select("txid", "vout", S.script_type(script_of()).alias("script_type"))
 
 
 @query("""SELECT txid, CASE WHEN ty = 2 THEN 2 WHEN coalesce(n, 0) = 0 THEN 0 WHEN m >= 2 AND v0 = 0 THEN 1 ELSE 0 END AS detected FROM tx
@@ -405,7 +411,8 @@ def height_promotion(L):
     return j.select("txid", F.when((F.col("height") < 0) & F.col("h").isNotNull(), F.col("h")).otherwise(F.col("height")).alias("height"))
 
 
-@query("SELECT prev_txid, prev_vout, value, prev_height AS created_height, height AS spent_height, txid AS spent_by FROM joined JOIN tx USING (txid) WHERE value IS NOT NULL")
+@query("""SELECT prev_txid, prev_vout, value, prev_height AS created_height, height AS spent_height, txid AS spent_by, spent_vin FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY txid ORDER BY prev_txid, prev_vout) - 1 AS INT) AS spent_vin FROM joined) JOIN tx USING (txid) WHERE value IS NOT NULL""")
 def spend_records(L):
     return J.spend_records(joined(L), L.tx)
 

@@ -7,16 +7,24 @@ new version each time, and a version counts only once its meta row is written.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import daily as D
 from ..plans.scratch import discard, written
+from ..sources.ledger import utc_date
 
 ADDITIVE = (
     "tx_count", "tx_bytes", "sapling_txs", "coinbase", "coinstake", "payment", "volume", "stake_volume", "coldstake_txs",
     "fees_total", "normal_tx_bytes", "rewards_total", "staker_rewards_total", "p2cs_created", "p2cs_spent", "coin_days_destroyed",
 )
 
+#: Columns that don't add up over batches: they are recomputed for the dates of a window.
+WINDOWED = ("blocks", "avg_difficulty", "unique_stakers", "top10_blocks", "active_addresses", "new_addresses", "orphan_blocks", "interval_p95_secs", "interval_max_secs")
+
+#: Upper bounds of the counts that quantiles of a metric are read from.
+BOUNDS = (1, 5, 10, 25, 50, 100, 250, 500)
+
 
 def day_deltas(ptx: DataFrame, block: DataFrame) -> DataFrame:
     return D.inline_counts(ptx, block).join(D.join_sums(ptx, block), "date", "full").select("date", *(F.coalesce(c, F.lit(0)).alias(c) for c in ADDITIVE))
@@ -80,6 +88,43 @@ class LiveDaily:
         self._commit(old, version + 1, max(reached, mark), fresh.where(F.col("height") > max(reached, mark)))
         discard(fresh)
 
+    def _windowed(self) -> tuple[int, int]:
+        """(version, watermark) of the windowed columns; (0, -1) at the start."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/window-meta")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return 0, -1
+        r = self.spark.read.schema("version int, watermark long").parquet(f"{self.root}/window-meta").orderBy(F.desc("version")).first()
+        return (r.version, r.watermark) if r else (0, -1)
+
+    def recompute(self, tx: DataFrame, out: DataFrame, chain: DataFrame, block: DataFrame, credit: DataFrame, days: int = 3) -> None:
+        """Recompute the windowed columns for the dates since the last time and the last `days` before the watermark.
+
+        A version of its own is written, and counts once its meta row is. After a rewind the dates from the fork's on
+        are recomputed; without a new height the last days are, so that late side blocks come in.
+        """
+        mark = self.state()[1]
+        version, done = self._windowed()
+        if mark < 0:
+            return
+        reached = block.where(F.col("height") <= mark)
+        since = reached.where(F.col("height") > min(done, mark - 1)).agg(F.min("date")).first()[0]
+        recent = reached.agg(F.date_format(F.date_sub(F.max(F.to_date("date")), days), "yyyy-MM-dd")).first()[0]
+        start = min(since, recent)
+        fresh = window_columns(tx, out, chain, reached, credit, start)
+        if version:
+            kept = self.spark.read.parquet(f"{self.root}/w{version}").where(F.col("date") < start)
+            fresh = kept.unionByName(fresh)
+        fresh.write.mode("overwrite").parquet(f"{self.root}/w{version + 1}")
+        self.spark.createDataFrame([(version + 1, mark)], "version int, watermark long").coalesce(1).write.mode("append").parquet(f"{self.root}/window-meta")
+
+    def series(self) -> DataFrame | None:
+        """All columns of each date that has transactions: the additive ones and the windowed ones as last computed."""
+        daily, version = self.daily(), self._windowed()[0]
+        if daily is None or not version:
+            return None
+        both = daily.join(self.spark.read.parquet(f"{self.root}/w{version}"), "date", "left")
+        return both.select("date", *ADDITIVE, *(F.coalesce(c, F.lit(0.0 if c == "avg_difficulty" else 0)).alias(c) for c in WINDOWED))
+
     def rewind(self, fork_height: int, block: DataFrame, max_blocks: int = 4320) -> bool:
         """Drop the dates from one day before the fork's on, so that replaying from there is right. False asks for a full rebuild.
 
@@ -108,6 +153,29 @@ class LiveDaily:
         return stream.writeStream.foreachBatch(lambda df, _: self.apply(per_transaction(df), block)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def window_columns(tx: DataFrame, out: DataFrame, chain: DataFrame, block: DataFrame, credit: DataFrame, start: str) -> DataFrame:
+    """The windowed columns of the dates of block from `start` on.
+
+    Transactions and credits are cut to the heights of those dates first. An address is new on a date if no credit
+    below those heights names it: history is read for the window's addresses only.
+    """
+    inside = block.where(F.col("date") >= start)
+    low = inside.agg(F.min("height")).first()[0]
+    recent = lambda df: df.where(F.col("height") >= low)
+    now = recent(credit).join(inside.select("height", "date"), "height")
+    first = now.groupBy("address").agg(F.min("date").alias("date"))
+    # Heights rise with time, but a block's date may lie before an earlier block's: both bounds are needed.
+    before = credit.join(block.where(F.col("date") < start).select("height"), "height", "left_semi").select("address")
+    known = before.join(first.select("address"), "address", "left_semi").distinct()
+    new = first.join(known, "address", "left_anti").groupBy("date").agg(F.count("*").alias("new_addresses"))
+    active = now.select("date", "address").distinct().groupBy("date").agg(F.count("*").alias("active_addresses"))
+    orphans = D.orphans_by_day(chain, block, utc_date).where(F.col("date") >= start)
+    days = D.difficulty_by_day(inside)
+    for part in (D.stakers_by_day(recent(tx), out, inside), D.interval_stats_by_day(block).where(F.col("date") >= start), active, new, orphans):
+        days = days.join(part, "date", "left")
+    return days.select("date", *(F.coalesce(c, F.lit(0)).cast("double" if c == "avg_difficulty" else "long").alias(c) for c in WINDOWED))
+
+
 def shadow_diff(a: DataFrame, b: DataFrame, columns: tuple[str, ...], relative: float = 1e-9) -> DataFrame:
     """(date, field, a, b) where two daily tables differ; dates of either side count."""
     j = a.select("date", F.struct(*(F.col(c).cast("double").alias(c) for c in columns)).alias("x")).join(b.select("date", F.struct(*(F.col(c).cast("double").alias(c) for c in columns)).alias("y")), "date", "full")
@@ -137,3 +205,54 @@ def alert_windows(metrics: DataFrame, lateness: str = "1 minute") -> DataFrame:
 
 def recompute_due(enabled, dirty, tip, last, interval) -> Column:
     return enabled & ~dirty & (tip >= 0) & ((last < 0) | (tip - last >= interval))
+
+
+def first_seen(snapshots: DataFrame, key: str, step: int = 3600) -> DataFrame:
+    """snapshots(key, hour), distinct, with first_seen: the start of the unbroken run of snapshots that hold the entry.
+
+    An entry that leaves and comes back starts anew. A key has at most one row for each snapshot.
+    """
+    by_key = W.partitionBy(key).orderBy("hour")
+    runs = snapshots.withColumn("_run", F.col("hour") - step * F.row_number().over(by_key))
+    return runs.withColumn("first_seen", F.min("hour").over(W.partitionBy(key, "_run"))).drop("_run")
+
+
+def frozen_tips(block: DataFrame, limit: int = 1200) -> DataFrame:
+    """(height, age, minutes) of blocks after which no other came for more than `limit` seconds."""
+    gaps = D.block_intervals(block).where(F.col("interval") > limit)
+    return gaps.select((F.col("height") - 1).alias("height"), F.col("interval").alias("age"), F.call_function("div", F.col("interval"), F.lit(60)).alias("minutes"))
+
+
+def bucket_quantiles(metrics: DataFrame, q: float, bounds: tuple = BOUNDS, lateness: str = "1 minute") -> DataFrame:
+    """Five-minute windows every 30 seconds of metrics(ts, event_type, value) with n and a quantile, p95 by name.
+
+    Counts below fixed bounds add up over tasks and batches; within a bound's range values are taken as evenly spread,
+    and beyond the last bound the bound itself is given. Null values don't count.
+    """
+    m = metrics.where("value IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    counts = (F.count(F.when(F.col("value") <= b, 1)).alias(f"c{i}") for i, b in enumerate(bounds))
+    g = m.groupBy(F.window("ts", "5 minutes", "30 seconds"), "event_type").agg(F.count("*").alias("n"), *counts)
+    rank, value = F.lit(q) * F.col("n"), F.lit(float(bounds[-1]))
+    for i in reversed(range(len(bounds))):
+        lo, under = (float(bounds[i - 1]), F.col(f"c{i - 1}")) if i else (0.0, F.lit(0))
+        value = F.when(F.col(f"c{i}") >= rank, F.lit(lo) + F.lit(float(bounds[i]) - lo) * (rank - under) / (F.col(f"c{i}") - under)).otherwise(value)
+    return g.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n", value.alias("p95"))
+
+
+def held_for(levels: DataFrame, seconds: int, step: int = 30) -> DataFrame:
+    """(event_type, at): evaluations at which every one of the last `seconds` is in levels(event_type, start), one row each."""
+    marks = levels.select("event_type", F.explode(F.sequence("start", F.col("start") + seconds, F.lit(step).cast("long"))).alias("at"))
+    return marks.groupBy("event_type", "at").agg(F.count("*").alias("_n")).where(F.col("_n") == seconds // step + 1).drop("_n")
+
+
+def stalls(metrics: DataFrame, seconds: int) -> DataFrame:
+    """(event_type, since, until): neighbours in time of one type at least `seconds` apart.
+
+    Neighbours are found within a type's day, and across days from one row for each type and day.
+    """
+    t = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    e = metrics.where("ts IS NOT NULL").select("event_type", t.alias("t")).distinct().withColumn("day", F.floor(F.col("t") / 86400))
+    ends = e.groupBy("event_type", "day").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    inner = e.select("event_type", F.col("t").alias("since"), F.lead("t").over(W.partitionBy("event_type", "day").orderBy("t")).alias("until"))
+    outer = ends.select("event_type", F.col("hi").alias("since"), F.lead("lo").over(W.partitionBy("event_type").orderBy("day")).alias("until"))
+    return inner.unionByName(outer).where(F.col("until") - F.col("since") >= seconds)
