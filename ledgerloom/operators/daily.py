@@ -51,21 +51,41 @@ def join_arithmetic() -> dict[str, Column]:
     }
 
 
-def inline_counts(ptx: DataFrame, block: DataFrame) -> DataFrame:
-    """By date: counts, bytes and volumes of per_transaction rows."""
+def _counts() -> list[Column]:
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     ty = F.col("ty")
-    return ptx.join(block.select("height", "date"), "height").groupBy("date").agg(
+    return [
         F.count("*").alias("tx_count"), F.sum("raw_len").alias("tx_bytes"), n(F.col("value_balance") != 0).alias("sapling_txs"), n(ty == 2).alias("coinbase"), n(ty == 1).alias("coinstake"), n(ty == 0).alias("payment"),
         wide(F.when(ty == 0, F.col("out_sum")).otherwise(0)).cast("long").alias("volume"), wide(F.when(ty == 1, F.col("out_sum")).otherwise(0)).cast("long").alias("stake_volume"), n((ty == 1) & (F.col("coldstake") == 1)).alias("coldstake_txs"),
-    )
+    ]
+
+
+def _sums() -> list[Column]:
+    s = lambda c, name: wide(c).cast("long").alias(name)
+    coin_days = (F.sum("coin_age").cast("double") / (1440.0 * COIN)).alias("coin_days_destroyed")
+    return [
+        s("fee", "fees_total"), F.sum("normal_bytes").alias("normal_tx_bytes"), s("rewards", "rewards_total"), s("staker_rewards", "staker_rewards_total"), coin_days,
+        s("p2cs_created", "p2cs_created"), s("p2cs_spent", "p2cs_spent"),
+    ]
+
+
+def _by_date(ptx: DataFrame, block: DataFrame, sums: list[Column]) -> DataFrame:
+    return ptx.join(block.select("height", "date"), "height").groupBy("date").agg(*sums)
+
+
+def inline_counts(ptx: DataFrame, block: DataFrame) -> DataFrame:
+    """By date: counts, bytes and volumes of per_transaction rows."""
+    return _by_date(ptx, block, _counts())
 
 
 def join_sums(ptx: DataFrame, block: DataFrame) -> DataFrame:
     """By the spender's date: fees, rewards, bytes, coin days destroyed and delegation flows."""
-    s = lambda c: wide(c).cast("long").alias(c if c not in ("fee", "rewards", "staker_rewards") else {"fee": "fees_total", "rewards": "rewards_total", "staker_rewards": "staker_rewards_total"}[c])
-    coin_days = (F.sum("coin_age").cast("double") / (1440.0 * COIN)).alias("coin_days_destroyed")
-    return ptx.join(block.select("height", "date"), "height").groupBy("date").agg(s("fee"), F.sum("normal_bytes").alias("normal_tx_bytes"), s("rewards"), s("staker_rewards"), coin_days, s("p2cs_created"), s("p2cs_spent"))
+    return _by_date(ptx, block, _sums())
+
+
+def day_sums(ptx: DataFrame, block: DataFrame) -> DataFrame:
+    """inline_counts and join_sums in one pass."""
+    return _by_date(ptx, block, _counts() + _sums())
 
 
 def treasury_payouts(ptx: DataFrame, block: DataFrame) -> DataFrame:
@@ -127,7 +147,7 @@ def daily_series(L, utc_date) -> DataFrame:
 
     ptx = per_transaction(L.tx, L.out, prevout_join(L.inp, L.out, L.tx), 1500)
     credit = credits(L.out, L.tx)
-    spine = inline_counts(ptx, L.block).join(join_sums(ptx, L.block), "date", "full").join(orphans_by_day(L.chain, L.block, utc_date), "date", "full")
+    spine = day_sums(ptx, L.block).join(orphans_by_day(L.chain, L.block, utc_date), "date", "full")
     extra = (difficulty_by_day(L.block), stakers_by_day(L.tx, L.out, L.block), interval_stats_by_day(L.block), active_by_day(credit, L.block), new_by_day(credit, L.block))
     days = reduce(lambda a, b: a.join(b, "date", "left"), extra, spine)
     return days.select("date", *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in COUNTS), *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("avg_difficulty", "coin_days_destroyed")))

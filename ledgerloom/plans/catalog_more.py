@@ -141,12 +141,12 @@ def replayed(L, reorg: bool):
     """The daily additive columns after replaying the chain in three batches, the second twice; then a rewind and replay."""
     lane = live.LiveDaily(L.spark, f"{shared_dir(L.spark)}/live/{uuid.uuid4().hex}")
     top = tip(L).first().tip
-    rows = ptx(L)
+    resolve = live.resolver(L.inp, L.out, L.tx, 1500)
     for a, b in ((0, top // 3), (top // 3, 2 * top // 3), (top // 3, 2 * top // 3), (0, top)):
-        lane.apply(rows.where(F.col("height").between(a, b)), L.block)
+        lane.apply(L.tx.where(F.col("height").between(a, b)), L.block, resolve)
     if reorg:
         lane.rewind(top - 200, L.block)
-        lane.apply(rows, L.block)
+        lane.apply(L.tx, L.block, resolve)
     return lane.daily().drop("coin_days_destroyed")
 
 

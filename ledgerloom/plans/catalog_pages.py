@@ -236,13 +236,13 @@ def live_columns(L, reorg: bool):
     """The series kept live in two batches and, if asked, rewound and replayed, the windowed columns recomputed after each."""
     lane = live.LiveDaily(L.spark, f"{shared_dir(L.spark)}/live/{uuid.uuid4().hex}")
     top = tip(L).first().tip
-    rows = ptx(L)
+    resolve = live.resolver(L.inp, L.out, L.tx, 1500)
     for a, b in ((0, top // 2), (top // 2, top)):
-        lane.apply(rows.where(F.col("height").between(a, b)), L.block)
+        lane.apply(L.tx.where(F.col("height").between(a, b)), L.block, resolve)
         lane.recompute(L.tx, L.out, L.chain, L.block, credit(L))
     if reorg:
         lane.rewind(top - 200, L.block)
-        lane.apply(rows, L.block)
+        lane.apply(L.tx, L.block, resolve)
         lane.recompute(L.tx, L.out, L.chain, L.block, credit(L))
     return lane.series().drop("coin_days_destroyed")
 

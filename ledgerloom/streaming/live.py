@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import daily as D
+from ..operators.joins import prevout_join
 from ..plans.scratch import discard, written
 from ..sources.ledger import utc_date
 
@@ -27,7 +28,24 @@ BOUNDS = (1, 5, 10, 25, 50, 100, 250, 500)
 
 
 def day_deltas(ptx: DataFrame, block: DataFrame) -> DataFrame:
-    return D.inline_counts(ptx, block).join(D.join_sums(ptx, block), "date", "full").select("date", *(F.coalesce(c, F.lit(0)).alias(c) for c in ADDITIVE))
+    return D.day_sums(ptx, block).select("date", *ADDITIVE)
+
+
+def resolver(inp: DataFrame, out: DataFrame, tx: DataFrame, era_scale: int = 1):
+    """A function that makes per-transaction rows of a batch of tx.
+
+    Inputs and outputs are cut to those that the batch names before anything is joined, so that a small batch
+    shuffles little of the ledger.
+    """
+
+    def resolve(batch: DataFrame) -> DataFrame:
+        ids = batch.select("txid")
+        mine = inp.join(ids, "txid", "left_semi")
+        asked = mine.select(F.col("prev_txid").alias("txid"))
+        named = lambda df, names: df.join(names, "txid", "left_semi")
+        return D.per_transaction(batch, named(out, ids), prevout_join(mine, named(out, asked), named(tx, asked)), era_scale)
+
+    return resolve
 
 
 class LiveDaily:
@@ -61,16 +79,19 @@ class LiveDaily:
         meta = self.spark.createDataFrame([(version, watermark)], "version int, watermark long")
         meta.coalesce(1).write.mode("append").parquet(f"{self.root}/meta")
 
-    def apply(self, ptx: DataFrame, block: DataFrame) -> None:
+    def apply(self, rows: DataFrame, block: DataFrame, resolve=None) -> None:
         """Add rows above the watermark to their dates; replayed rows change nothing.
 
+        rows are per-transaction rows, or transactions if resolve is given, which makes such rows of the new ones only.
+
         The watermark is the last height up to which every block has all of its n_tx transactions. Rows above it, of
         a block that came in part or after a gap, wait in the state for the batch that completes it.
         """
         version, mark = self.state()
         held = self._waiting(version)
-        rows = ptx if held is None else held.unionByName(ptx, allowMissingColumns=True)
-        fresh = written(rows.where(F.col("height") > mark).dropDuplicates(["txid"]), False)
+        new = rows.where(F.col("height") > mark).dropDuplicates(["txid"])
+        new = resolve(new) if resolve else new
+        fresh = written(new if held is None else held.unionByName(new, allowMissingColumns=True).dropDuplicates(["txid"]), False)
         top = fresh.agg(F.max("height")).first()[0]
         if top is None:
             return
@@ -150,7 +171,7 @@ class LiveDaily:
 
     def follow(self, stream: DataFrame, per_transaction, block: DataFrame, checkpoint: str):
         """A started query that applies each micro-batch of a stream of transactions; per_transaction resolves a batch."""
-        return stream.writeStream.foreachBatch(lambda df, _: self.apply(per_transaction(df), block)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return stream.writeStream.foreachBatch(lambda df, _: self.apply(df, block, per_transaction)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def window_columns(tx: DataFrame, out: DataFrame, chain: DataFrame, block: DataFrame, credit: DataFrame, start: str) -> DataFrame:
