@@ -39,9 +39,9 @@ def resolver(inp: DataFrame, out: DataFrame, tx: DataFrame, era_scale: int = 1):
     """
 
     def resolve(batch: DataFrame) -> DataFrame:
-        ids = batch.select("txid")
+        ids = batch.select("txid").distinct()
         mine = inp.join(ids, "txid", "left_semi")
-        asked = mine.select(F.col("prev_txid").alias("txid"))
+        asked = mine.select(F.col("prev_txid").alias("txid")).distinct()
         named = lambda df, names: df.join(names, "txid", "left_semi")
         return D.per_transaction(batch, named(out, ids), prevout_join(mine, named(out, asked), named(tx, asked)), era_scale)
 
