@@ -46,18 +46,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
-def salted_join(rows: DataFrame, groups: DataFrame, key: str, size: str, most: int = 1000, how: str = "inner") -> DataFrame:
+def place() -> Column:
+    """A hash of a row's place in its partition: it parts equal rows, and is the same again when a task is repeated.
+
+    That holds where the partition's rows come from files in their order, not from a shuffle.
+    """
+    return F.xxhash64(F.monotonically_increasing_id())
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, key: str, size: str, most: int = 1000, how: str = "inner", mark: Column | None = None) -> DataFrame:
     """rows joined with groups, which have one row for each key and the number of rows with it in `size`.
 
     Keys with more than one in `most` of all rows, fewer than `most` keys, are broadcast with a number of salts;
-    their rows are dealt over as many tasks by a hash, and their groups are repeated.
+    their rows are dealt over as many tasks by `mark`, and their groups are repeated. By default the mark is a hash of
+    the row; rows that repeat need `place()`, which may only be used on what a scan gives without a shuffle.
     """
     groups = written(groups, False)
     total = groups.agg(F.sum(size)).first()[0] or 0
     large = groups.where(F.col(size) * most > total).select(
         F.col(key).alias("_key"), F.ceil(F.col(size) * most / F.lit(max(total, 1))).cast("int").alias("_salts")
     )
-    mark = F.xxhash64(*rows.columns)
+    mark = F.xxhash64(*rows.columns) if mark is None else mark
     salted = rows.join(F.broadcast(large), rows[key] == F.col("_key"), "left").withColumn(
         "_salt", F.when(F.col("_salts").isNotNull(), F.pmod(mark, F.col("_salts"))).otherwise(F.lit(0)).cast("int")
     )
