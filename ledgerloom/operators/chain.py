@@ -2,34 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import block_work
-from ..plans.scratch import written
+from ..plans.scratch import discard, written
 
 
 #: Pointer doubling ends within this many rounds, unless the links form a cycle.
 _MOST_ROUNDS = 64
 
 
+def _followed(now: DataFrame) -> DataFrame:
+    """Blocks (block_hash, up, work, hops) moved on by what the block at `up` knows; those at a root stay as they are."""
+    above = now.select(F.col("block_hash").alias("up"), F.col("up").alias("_up"), F.col("work").alias("_w"), F.col("hops").alias("_h"))
+    summed = (F.col("work") + F.col("_w")).cast("decimal(38,0)").alias("work")
+    moved = now.where("up IS NOT NULL").join(above, "up").select("block_hash", F.col("_up").alias("up"), summed, (F.col("hops") + F.col("_h")).alias("hops"))
+    return now.where("up IS NULL").unionByName(moved)
+
+
 def cumulative_work(chain: DataFrame) -> DataFrame:
     """(block_hash, prev_hash, height, work) of all blocks that reach a block without prev_hash, by pointer doubling.
 
-    After round k each block knows the sum over up to 2**k ancestors; a chain of a million blocks takes 20 joins. Only
-    blocks that haven't reached the root yet are joined. A block whose ancestor is missing is left out; a cycle is an
-    error. Each round is written, so that no plan grows with the depth.
+    After k doublings each block knows the sum over up to 2**k ancestors; a chain of a million blocks takes 20, two to
+    a round. A block whose ancestor is missing is left out; a cycle is an error, and so is a block whose work is not
+    defined: none of its descendants could be compared. Each round is written, so that no plan grows with the depth.
     """
-    start = chain.select("block_hash", F.col("prev_hash").alias("up"), block_work(F.col("nbits")).alias("work"))
-    now = written(start.withColumn("hops", F.lit(1).cast("long")), False)
+    work = F.coalesce(block_work(F.col("nbits")), F.raise_error(F.concat(F.lit("no work is defined for the target of block "), F.col("block_hash"))).cast("decimal(38,0)"))
+    now = written(chain.select("block_hash", F.col("prev_hash").alias("up"), work.alias("work"), F.lit(1).cast("long").alias("hops")), False)
     for _ in range(_MOST_ROUNDS):
-        todo = now.where("up IS NOT NULL")
-        if todo.isEmpty():
+        if now.where("up IS NOT NULL").isEmpty():
             break
-        above = now.select(F.col("block_hash").alias("up"), F.col("up").alias("_up"), F.col("work").alias("_w"), F.col("hops").alias("_h"))
-        summed = (F.col("work") + F.col("_w")).cast("decimal(38,0)").alias("work")
-        moved = todo.join(above, "up").select("block_hash", F.col("_up").alias("up"), summed, (F.col("hops") + F.col("_h")).alias("hops"))
-        now = written(now.where("up IS NULL").unionByName(moved), False)
+        before, now = now, written(_followed(_followed(now)), False)
+        discard(before)
     else:
         raise ValueError("the links between blocks form a cycle")
     rooted = now.join(chain.select("block_hash", "prev_hash"), "block_hash")
@@ -46,13 +53,24 @@ def best_tip(worked: DataFrame) -> DataFrame:
     return childless(worked).orderBy(F.desc("work"), "block_hash").limit(1)
 
 
-def canonical_chain(chain: DataFrame, worked: DataFrame) -> DataFrame:
-    """(height, block_hash) of the best tip and its ancestors.
+def canonical_chain(worked: DataFrame) -> DataFrame:
+    """(height, block_hash) of the best tip and its ancestors, of what cumulative_work gives.
 
-    The marked set doubles each round; a cycle is an error: jump tables of 2**k steps carry marks from marked blocks to ancestors.
+    Up to the best tip's height a block that is alone at its height is one of them. Of heights with several blocks
+    one is, which links tell: from the next height with a single block down, by jumps of 2**k steps within such heights.
     """
-    jump = written(chain.where("prev_hash IS NOT NULL").select("block_hash", F.col("prev_hash").alias("up")), False)
-    marked = best_tip(worked).select("block_hash")
+    best = best_tip(worked).select(F.col("block_hash").alias("_best"), F.col("height").alias("_top"))
+    low = worked.crossJoin(F.broadcast(best)).where("height < _top OR block_hash = _best")  # best is one row
+    alone = low.groupBy("height").agg(F.count("*").alias("_n"), F.min("block_hash").alias("block_hash")).withColumn("sure", F.col("_n") == 1)
+    sure = written(alone.where("sure").select("height", "block_hash"), False)
+    several = low.join(alone.where("NOT sure").select("height"), "height", "left_semi").select("height", "block_hash", "prev_hash")
+    several = written(several, False)
+    if several.isEmpty():
+        return sure
+    heads = worked.join(several.select(F.col("block_hash").alias("prev_hash")), "prev_hash", "left_semi").join(sure.select("block_hash"), "block_hash", "left_semi")
+    marked = heads.select(F.col("prev_hash").alias("block_hash")).distinct()
+    jump = several.join(several.select(F.col("block_hash").alias("_p")), F.col("prev_hash") == F.col("_p"), "left_semi").select("block_hash", F.col("prev_hash").alias("up"))
+    jump = written(jump, False)
     for _ in range(_MOST_ROUNDS):
         marked = written(marked, False)
         if jump.isEmpty():
@@ -62,7 +80,36 @@ def canonical_chain(chain: DataFrame, worked: DataFrame) -> DataFrame:
         jump = written(jump.join(step, "up").select("block_hash", F.col("_up").alias("up")), False)
     else:
         raise ValueError("the links between blocks form a cycle")
-    return worked.join(marked, "block_hash", "left_semi").select("height", "block_hash")
+    return sure.unionByName(several.join(marked, "block_hash", "left_semi").select("height", "block_hash"))
+
+
+def fork_points(chain: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(tip_hash, tip_height, fork_hash, fork_height, depth) of each tip of a side branch, from the links, all tips at once.
+
+    A tip's fork is its nearest ancestor on the canonical chain (height, block_hash), depth the number of blocks
+    between them, the tip included. Jumps double within the side blocks, so a branch of n blocks takes log n rounds. A
+    branch that doesn't reach the canonical chain has no row; side blocks that form a cycle are an error.
+    """
+    side = written(side_blocks(chain, canonical).select("block_hash", "prev_hash"), False)
+    main = canonical.select(F.col("block_hash").alias("up"), F.col("height").alias("_main"))
+    now = written(side.select("block_hash", F.col("prev_hash").alias("up"), F.lit(1).cast("long").alias("depth")).join(main, "up", "left"), False)
+    met = [now.where("_main IS NOT NULL")]
+    for _ in range(_MOST_ROUNDS):
+        waiting = now.where("_main IS NULL")
+        above = now.select(F.col("block_hash").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("_main").alias("_m"))
+        moved = waiting.drop("_main").join(above, "up").select("block_hash", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"), F.col("_m").alias("_main"))
+        moved = written(moved, False)
+        if moved.isEmpty():
+            break
+        met.append(moved.where("_main IS NOT NULL"))
+        # Those that have met the chain stay as places to jump to.
+        now = written(now.where("_main IS NOT NULL").unionByName(moved), False)
+    else:
+        raise ValueError("the links between blocks form a cycle")
+    rows = reduce(DataFrame.unionByName, met)
+    tips = childless(chain).select(F.col("block_hash").alias("tip_hash"))
+    joined = rows.join(tips, F.col("block_hash") == F.col("tip_hash"))
+    return joined.select("tip_hash", (F.col("_main") + F.col("depth")).alias("tip_height"), F.col("up").alias("fork_hash"), F.col("_main").alias("fork_height"), "depth")
 
 
 def side_blocks(chain: DataFrame, canonical: DataFrame) -> DataFrame:

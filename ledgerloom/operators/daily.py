@@ -100,6 +100,11 @@ def stakers_by_day(tx: DataFrame, out: DataFrame, block: DataFrame) -> DataFrame
     """unique_stakers and the blocks that the day's ten largest won; a staker is the first address of the first addressed output."""
     first = out.where("addr_a IS NOT NULL").groupBy("txid").agg(F.min_by("addr_a", "vout").alias("staker"))
     won = tx.where("ty = 1").select("txid", "height").join(first, "txid").join(block.select("height", "date"), "height").groupBy("date", "staker").agg(F.count("*").alias("n"))
+    return winners(won)
+
+
+def winners(won: DataFrame) -> DataFrame:
+    """stakers_by_day of the number n of blocks that each staker won on each date."""
     ranked = won.withColumn("r", F.row_number().over(W.partitionBy("date").orderBy(F.desc("n"), "staker")))
     return ranked.groupBy("date").agg(F.count("*").alias("unique_stakers"), F.sum(F.when(F.col("r") <= 10, F.col("n")).otherwise(0)).alias("top10_blocks"))
 
@@ -127,12 +132,30 @@ def interval_stats_by_day(block: DataFrame) -> DataFrame:
     return r.groupBy("date").agg(F.max(F.when(F.col("r") == pick, F.col("interval"))).alias("interval_p95_secs"), F.max("interval").alias("interval_max_secs"))
 
 
-def orphans_by_day(chain: DataFrame, block: DataFrame, utc_date, margin: int = 7200) -> DataFrame:
-    """Stale blocks by their own date, each hash once, if they are older than the tip's time less the margin."""
+def _stale(chain: DataFrame, block: DataFrame, margin: int) -> DataFrame:
+    """Headers that aren't canonical, each hash once, if they are older than the tip's time less the margin."""
     tip = block.agg(F.max_by("ntime", "height").alias("tip_time"))
     canonical = block.select(F.concat(F.lit("B"), F.col("height").cast("string")).alias("block_hash"))
     stale = chain.join(canonical, "block_hash", "left_anti").dropDuplicates(["block_hash"]).crossJoin(F.broadcast(tip))  # tip is one row
-    return stale.where((F.col("ntime") != 0) & (F.col("ntime") < F.col("tip_time") - margin)).groupBy(utc_date(F.col("ntime")).alias("date")).agg(F.count("*").alias("orphan_blocks"))
+    return stale.where((F.col("ntime") != 0) & (F.col("ntime") < F.col("tip_time") - margin))
+
+
+def orphans_by_day(chain: DataFrame, block: DataFrame, utc_date, margin: int = 7200) -> DataFrame:
+    """Stale blocks by their own date."""
+    return _stale(chain, block, margin).groupBy(utc_date(F.col("ntime")).alias("date")).agg(F.count("*").alias("orphan_blocks"))
+
+
+def orphans_of_both_arms(chain: DataFrame, captured: DataFrame, block: DataFrame, utc_date, margin: int = 7200) -> DataFrame:
+    """orphans_by_day with captured(block_hash, height), orphans of a tail that are deep enough to be final.
+
+    A captured block has no time of its own here: it counts on the date of the canonical block at its height. A block
+    that both know counts once, by its own date.
+    """
+    own = _stale(chain, block, margin).select("block_hash", utc_date(F.col("ntime")).alias("date"))
+    canonical = block.select(F.concat(F.lit("B"), F.col("height").cast("string")).alias("block_hash"))
+    late = captured.select("block_hash", "height").distinct().join(canonical, "block_hash", "left_anti").join(own, "block_hash", "left_anti")
+    both = own.unionByName(late.join(block.where("ntime <> 0").select("height", "date"), "height").select("block_hash", "date"))
+    return both.groupBy("date").agg(F.count("*").alias("orphan_blocks"))
 
 
 COUNTS = (

@@ -13,9 +13,12 @@ def prevout_join(inp: DataFrame, out: DataFrame, tx: DataFrame) -> DataFrame:
     The build side holds outputs of transactions with height >= 0 only. Both sides are keyed by the outpoint:
     the one large shuffle; AQE splits skewed partitions.
     """
-    build = out.join(tx.where("height >= 0").select("txid", F.col("height").alias("prev_height")), "txid").select(
-        F.col("txid").alias("_t"), F.col("vout").alias("_v"), "value", "kind", "addr_a", "addr_b", "prev_height"
-    )
+    return resolve(inp, out.join(tx.where("height >= 0").select("txid", "height"), "txid"))
+
+
+def resolve(inp: DataFrame, made: DataFrame) -> DataFrame:
+    """prevout_join with outputs that carry their height."""
+    build = made.select(F.col("txid").alias("_t"), F.col("vout").alias("_v"), "value", "kind", "addr_a", "addr_b", F.col("height").alias("prev_height"))
     return inp.join(build, (F.col("prev_txid") == F.col("_t")) & (F.col("prev_vout") == F.col("_v")), "left").drop("_t", "_v")
 
 
@@ -31,8 +34,12 @@ def attributed(rows: DataFrame) -> DataFrame:
 
 def credits(out: DataFrame, tx: DataFrame) -> DataFrame:
     """(txid, vout, value, height, ty, address) of each address that an output pays; a coinstake's output 0 pays none."""
-    rows = out.where("kind > 0").join(tx.select("txid", "height", "ty"), "txid").where("NOT (ty = 1 AND vout = 0)")
-    return attributed(rows).select("txid", "vout", "value", "height", "ty", "address")
+    return paid(out.where("kind > 0").join(tx.select("txid", "height", "ty"), "txid"))
+
+
+def paid(made: DataFrame) -> DataFrame:
+    """credits of outputs that carry their transaction's height and type."""
+    return attributed(made.where("NOT (ty = 1 AND vout = 0)")).select("txid", "vout", "value", "height", "ty", "address")
 
 
 def debits(joined: DataFrame, tx: DataFrame) -> DataFrame:

@@ -864,7 +864,7 @@ def best_tip(L):
 
 @query("SELECT height, block_hash FROM canonical")
 def canonical_chain(L):
-    return H.canonical_chain(L.chain, H.written(H.cumulative_work(L.chain)))
+    return H.canonical_chain(H.written(H.cumulative_work(L.chain)))
 
 
 @query("SELECT max(height) AS fork_height FROM canonical WHERE height < 150")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,8 +14,7 @@ from ..operators import reports as R
 from ..operators import wealth as V
 from ..sources.ledger import COIN, wide
 from ..streaming import live
-from .catalog import _TALLY, _VOTED, allocation_sql, credit, daily, days, debit, joined, ptx, query, tip, totals, utxo  # noqa: F401
-from .scratch import shared_dir
+from .catalog import _TALLY, _VOTED, OPERATORS, PLAIN_SQL, allocation_sql, credit, daily, days, debit, joined, ptx, query, tip, totals, utxo  # noqa: F401
 
 
 @query("SELECT txid, height, CASE WHEN height = 0 THEN 'genesis' ELSE 'canonical' END AS status, height > 100 AS is_pos FROM tx")
@@ -102,10 +99,13 @@ def cold_staking_report(L):
     return D.complete_days(R.delegation_curve(daily(L)), tip(L).select("date"), 30, 1, slice_first=False).select("date", "cumulative")
 
 
-@query("SELECT s.n, s.total, round(CAST(t.v AS DOUBLE) * 100.0 / s.total, 6) AS share FROM (SELECT count(*) AS n, CAST(sum(balance) AS DOUBLE) AS total FROM holders) s, (SELECT sum(balance) AS v FROM rich WHERE rank <= 100) t")
+@query(f"""SELECT s.n, CAST(d.denominator AS DOUBLE) AS total, round(CAST(t.v AS DOUBLE) * 100.0 / CAST(d.denominator AS DOUBLE), 6) AS share
+  FROM (SELECT count(*) AS n FROM holders) s, ({PLAIN_SQL["supply_denominator"]}) d, (SELECT sum(balance) AS v FROM rich WHERE rank <= 100) t""")
 def wealth_report(L):
-    s = V.top_shares(totals(L))
-    return s.select(F.col("holders").alias("n"), F.col("total").cast("double").alias("total"), F.round(F.col("top100").cast("double") * 100.0 / F.col("total").cast("double"), 6).alias("share"))
+    """Holders, the supply (each coin once) and the share of the hundred largest in it."""
+    s = V.top_shares(totals(L)).crossJoin(OPERATORS["supply_denominator"](L))  # one row each
+    total = F.col("denominator").cast("double")
+    return s.select(F.col("holders").alias("n"), total.alias("total"), F.round(F.col("top100").cast("double") * 100.0 / total, 6).alias("share"))
 
 
 @query("SELECT lo_coins, n, round(n * 100.0 / (SELECT count(*) FROM holders), 6) AS pct FROM (SELECT CASE WHEN balance >= 10000000000000 THEN 100000 WHEN balance >= 1000000000000 THEN 10000 WHEN balance >= 100000000000 THEN 1000 WHEN balance >= 10000000000 THEN 100 WHEN balance >= 1000000000 THEN 10 WHEN balance >= 100000000 THEN 1 ELSE 0 END::BIGINT AS lo_coins, count(*) AS n FROM holders GROUP BY 1)")
@@ -134,38 +134,6 @@ def headline_tiles(L):
 # --- J: live
 
 
-_DELTAS = "SELECT d1.*, fees_total, normal_tx_bytes, rewards_total, staker_rewards_total, p2cs_created, p2cs_spent FROM d1 JOIN d3 USING (date)"
-
-
-def replayed(L, reorg: bool):
-    """The daily additive columns after replaying the chain in three batches, the second twice; then a rewind and replay."""
-    lane = live.LiveDaily(L.spark, f"{shared_dir(L.spark)}/live/{uuid.uuid4().hex}")
-    top = tip(L).first().tip
-    resolve = live.resolver(L.inp, L.out, L.tx, 1500)
-    for a, b in ((0, top // 3), (top // 3, 2 * top // 3), (top // 3, 2 * top // 3), (0, top)):
-        lane.apply(L.tx.where(F.col("height").between(a, b)), L.block, resolve)
-    if reorg:
-        lane.rewind(top - 200, L.block)
-        lane.apply(L.tx, L.block, resolve)
-    return lane.daily().drop("coin_days_destroyed")
-
-
-@query(_DELTAS)
-def live_replay(L):
-    return replayed(L, False)
-
-
-@query(_DELTAS)
-def reorg_replay(L):
-    return replayed(L, True)
-
-
-@query("SELECT 0 AS mismatches")
-def shadow_validation(L):
-    batch = live.day_deltas(ptx(L), L.block)
-    return live.shadow_diff(replayed(L, False), batch, tuple(c for c in live.ADDITIVE if c != "coin_days_destroyed")).agg(F.count("*").cast("int").alias("mismatches"))
-
-
 @query("SELECT block_hash, CASE WHEN true_height % 50 = 7 THEN 'pending' WHEN stale = 0 THEN 'canonical' ELSE 'orphan' END AS state FROM chain")
 def orphan_tail_states(L):
     known = L.block.where("height % 50 <> 7").select(F.col("height").alias("true_height"), F.concat(F.lit("B"), F.col("height").cast("string")).alias("ch"))

@@ -1,9 +1,7 @@
-"""Registered ledger queries of explorer pages, searches, alerts and the whole live series."""
+"""Registered ledger queries of explorer pages, searches, and alerts."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,7 +14,6 @@ from ..sources.ledger import wide
 from ..streaming import live
 from . import catalog as C
 from .catalog import PLAIN_SQL, credit, joined, ptx, query, tip, totals, utxo
-from .scratch import shared_dir
 
 # --- attribution and coin sets
 
@@ -153,12 +150,15 @@ def treasury_recent(L):
     return last.agg(F.max("cycle").alias("last_cycle"), F.max_by("total", "cycle").alias("last_total"), F.round(F.sum("total").cast("double") / F.count("*"), 6).alias("mean_total"))
 
 
-@query(f"""SELECT w.holders, {", ".join(f"round(CAST(w.{c} AS DOUBLE) * 100.0 / CAST(w.total AS DOUBLE), 6) AS {c}_pct" for c in ("top10", "top50", "top100", "top1000"))}, gini, nakamoto
-  FROM ({PLAIN_SQL["wealth_sums"]}) w, ({PLAIN_SQL["gini"]}) g, ({PLAIN_SQL["nakamoto"]}) n""")
+_SHARES = ", ".join(f"round(CAST(w.{c} AS DOUBLE) * 100.0 / CAST(d.denominator AS DOUBLE), 6) AS {c}_pct" for c in ("top10", "top50", "top100", "top1000"))
+
+
+@query(f"""SELECT w.holders, {_SHARES}, gini, nakamoto
+  FROM ({PLAIN_SQL["wealth_sums"]}) w, ({PLAIN_SQL["supply_denominator"]}) d, ({PLAIN_SQL["gini"]}) g, ({PLAIN_SQL["nakamoto"]}) n""")
 def wealth_overview(L):
-    """Shares of the largest holders, Gini and Nakamoto in one row; holder_shares has the histogram."""
-    pct = lambda c: F.round(F.col(c).cast("double") * 100.0 / F.col("total").cast("double"), 6).alias(f"{c}_pct")
-    s = V.top_shares(totals(L)).select("holders", *(pct(c) for c in ("top10", "top50", "top100", "top1000")))
+    """Shares of the largest holders in the supply, in which a cold-staked coin counts once; Gini and Nakamoto; one row."""
+    pct = lambda c: F.round(F.col(c).cast("double") * 100.0 / F.col("denominator").cast("double"), 6).alias(f"{c}_pct")
+    s = V.top_shares(totals(L)).crossJoin(C.OPERATORS["supply_denominator"](L)).select("holders", *(pct(c) for c in ("top10", "top50", "top100", "top1000")))
     return s.crossJoin(V.gini(totals(L)).select("gini")).crossJoin(V.nakamoto(totals(L)).select("nakamoto"))  # one row each
 
 
@@ -227,34 +227,3 @@ def latency_alerts(L):
 def stalled_metrics(L):
     """Stretches in which a metric's five-minute rate was 0 for five minutes."""
     return live.stalls(L.table("events"), 600)
-
-
-# --- the whole live series
-
-
-def live_columns(L, reorg: bool):
-    """The series kept live in two batches and, if asked, rewound and replayed, the windowed columns recomputed after each."""
-    lane = live.LiveDaily(L.spark, f"{shared_dir(L.spark)}/live/{uuid.uuid4().hex}")
-    top = tip(L).first().tip
-    resolve = live.resolver(L.inp, L.out, L.tx, 1500)
-    for a, b in ((0, top // 2), (top // 2, top)):
-        lane.apply(L.tx.where(F.col("height").between(a, b)), L.block, resolve)
-        lane.recompute(L.tx, L.out, L.chain, L.block, credit(L))
-    if reorg:
-        lane.rewind(top - 200, L.block)
-        lane.apply(L.tx, L.block, resolve)
-        lane.recompute(L.tx, L.out, L.chain, L.block, credit(L))
-    return lane.series().drop("coin_days_destroyed")
-
-
-_LIVE = f"SELECT date, {', '.join(c for c in (*live.ADDITIVE, *live.WINDOWED) if c != 'coin_days_destroyed')} FROM daily WHERE date IN (SELECT date FROM d1)"
-
-
-@query(_LIVE)
-def live_series(L):
-    return live_columns(L, False)
-
-
-@query(_LIVE)
-def live_series_after_reorg(L):
-    return live_columns(L, True)

@@ -1,19 +1,12 @@
-"""The live lane: incremental daily series with rewind, and windowed streams.
-
-Batch and live call the same functions; the live state is a small table with one row per day, written as a
-new version each time, and a version counts only once its meta row is written.
-"""
+"""Columns of the live series, comparison of two series, and windowed streams of samples and metrics."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import daily as D
-from ..operators.joins import prevout_join
-from ..plans.scratch import discard, written
-from ..sources.ledger import utc_date
 
 ADDITIVE = (
     "tx_count", "tx_bytes", "sapling_txs", "coinbase", "coinstake", "payment", "volume", "stake_volume", "coldstake_txs",
@@ -31,172 +24,6 @@ def day_deltas(ptx: DataFrame, block: DataFrame) -> DataFrame:
     return D.day_sums(ptx, block).select("date", *ADDITIVE)
 
 
-def resolver(inp: DataFrame, out: DataFrame, tx: DataFrame, era_scale: int = 1):
-    """A function that makes per-transaction rows of a batch of tx.
-
-    Inputs and outputs are cut to those that the batch names before anything is joined, so that a small batch
-    shuffles little of the ledger.
-    """
-
-    def resolve(batch: DataFrame) -> DataFrame:
-        ids = batch.select("txid").distinct()
-        mine = inp.join(ids, "txid", "left_semi")
-        asked = mine.select(F.col("prev_txid").alias("txid")).distinct()
-        named = lambda df, names: df.join(names, "txid", "left_semi")
-        return D.per_transaction(batch, named(out, ids), prevout_join(mine, named(out, asked), named(tx, asked)), era_scale)
-
-    return resolve
-
-
-class LiveDaily:
-    """The additive daily columns under `root`, kept current by batches of per-transaction rows."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
-
-    def state(self) -> tuple[int, int]:
-        """(version, watermark): the last complete version and the greatest height in it; (0, -1) at the start."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/meta")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return 0, -1
-        r = self.spark.read.schema("version int, watermark long").parquet(f"{self.root}/meta").orderBy(F.desc("version")).first()
-        return (r.version, r.watermark) if r else (0, -1)
-
-    def daily(self) -> DataFrame | None:
-        version, _ = self.state()
-        return self.spark.read.parquet(f"{self.root}/v{version}") if version else None
-
-    def _waiting(self, version: int) -> DataFrame | None:
-        """Rows of heights that weren't whole yet at a version."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/p{version}")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.parquet(f"{self.root}/p{version}") if found else None
-
-    def _commit(self, daily: DataFrame, version: int, watermark: int, waiting: DataFrame | None = None) -> None:
-        daily.write.mode("overwrite").parquet(f"{self.root}/v{version}")
-        if waiting is not None:
-            waiting.write.mode("overwrite").parquet(f"{self.root}/p{version}")
-        meta = self.spark.createDataFrame([(version, watermark)], "version int, watermark long")
-        meta.coalesce(1).write.mode("append").parquet(f"{self.root}/meta")
-
-    def apply(self, rows: DataFrame, block: DataFrame, resolve=None) -> None:
-        """Add rows above the watermark to their dates; replayed rows change nothing.
-
-        rows are per-transaction rows, or transactions if resolve is given, which makes such rows of the new ones only.
-
-        The watermark is the last height up to which every block has all of its n_tx transactions. Rows above it, of
-        a block that came in part or after a gap, wait in the state for the batch that completes it.
-        """
-        version, mark = self.state()
-        held = self._waiting(version)
-        new = rows.where(F.col("height") > mark).dropDuplicates(["txid"])
-        new = resolve(new) if resolve else new
-        fresh = written(new if held is None else held.unionByName(new, allowMissingColumns=True).dropDuplicates(["txid"]), False)
-        top = fresh.agg(F.max("height")).first()[0]
-        if top is None:
-            return
-        count = fresh.groupBy("height").agg(F.count("*").alias("_n"))
-        due = block.where((F.col("height") > mark) & (F.col("height") <= top)).select("height", "n_tx").join(count, "height", "left")
-        gap = due.where(F.coalesce("_n", F.lit(0)) < F.col("n_tx")).agg(F.min("height")).first()[0]
-        reached = top if gap is None else gap - 1
-        old = self.daily()
-        if reached <= mark and old is None and version == 0:
-            old = day_deltas(fresh.where("false"), block)
-        if reached > mark:
-            add = day_deltas(fresh.where(F.col("height") <= reached), block)
-            both = add if old is None else old.unionByName(add)
-            old = both.groupBy("date").agg(*(F.sum(c).cast(add.schema[c].dataType).alias(c) for c in ADDITIVE))
-        self._commit(old, version + 1, max(reached, mark), fresh.where(F.col("height") > max(reached, mark)))
-        discard(fresh)
-
-    def _windowed(self) -> tuple[int, int]:
-        """(version, watermark) of the windowed columns; (0, -1) at the start."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/window-meta")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return 0, -1
-        r = self.spark.read.schema("version int, watermark long").parquet(f"{self.root}/window-meta").orderBy(F.desc("version")).first()
-        return (r.version, r.watermark) if r else (0, -1)
-
-    def recompute(self, tx: DataFrame, out: DataFrame, chain: DataFrame, block: DataFrame, credit: DataFrame, days: int = 3) -> None:
-        """Recompute the windowed columns for the dates since the last time and the last `days` before the watermark.
-
-        A version of its own is written, and counts once its meta row is. After a rewind the dates from the fork's on
-        are recomputed; without a new height the last days are, so that late side blocks come in.
-        """
-        mark = self.state()[1]
-        version, done = self._windowed()
-        if mark < 0:
-            return
-        reached = block.where(F.col("height") <= mark)
-        since = reached.where(F.col("height") > min(done, mark - 1)).agg(F.min("date")).first()[0]
-        recent = reached.agg(F.date_format(F.date_sub(F.max(F.to_date("date")), days), "yyyy-MM-dd")).first()[0]
-        start = min(since, recent)
-        fresh = window_columns(tx, out, chain, reached, credit, start)
-        if version:
-            kept = self.spark.read.parquet(f"{self.root}/w{version}").where(F.col("date") < start)
-            fresh = kept.unionByName(fresh)
-        fresh.write.mode("overwrite").parquet(f"{self.root}/w{version + 1}")
-        self.spark.createDataFrame([(version + 1, mark)], "version int, watermark long").coalesce(1).write.mode("append").parquet(f"{self.root}/window-meta")
-
-    def series(self) -> DataFrame | None:
-        """All columns of each date that has transactions: the additive ones and the windowed ones as last computed."""
-        daily, version = self.daily(), self._windowed()[0]
-        if daily is None or not version:
-            return None
-        both = daily.join(self.spark.read.parquet(f"{self.root}/w{version}"), "date", "left")
-        return both.select("date", *ADDITIVE, *(F.coalesce(c, F.lit(0.0 if c == "avg_difficulty" else 0)).alias(c) for c in WINDOWED))
-
-    def rewind(self, fork_height: int, block: DataFrame, max_blocks: int = 4320) -> bool:
-        """Drop the dates from one day before the fork's on, so that replaying from there is right. False asks for a full rebuild.
-
-        The date is that of the first block above the fork that the table has. Rows that wait are dropped too: the
-        replay brings them again.
-        """
-        version, mark = self.state()
-        if mark <= fork_height:
-            return True
-        if mark - fork_height > max_blocks:
-            return False
-        above = block.where(F.col("height") > fork_height).agg(F.min_by("date", "height").alias("date"))
-        fork_date = above.select(F.date_format(F.date_sub(F.to_date("date"), 1), "yyyy-MM-dd")).first()[0]
-        if fork_date is None:  # the table ends at the fork: only its own last date is in doubt
-            fork_date = block.agg(F.max("date")).first()[0]
-        first = block.where(F.col("date") >= fork_date).agg(F.min("height")).first()[0]
-        late = block.where(F.col("height") >= first).select("date").distinct()
-        # A date that holds both earlier and later blocks must be rebuilt whole, so the first height moves down to its start.
-        first = block.join(late, "date", "left_semi").agg(F.min("height")).first()[0]
-        gone = block.where(F.col("height") >= first).select("date").distinct()
-        self._commit(self.daily().join(gone, "date", "left_anti"), version + 1, first - 1)
-        return True
-
-    def follow(self, stream: DataFrame, per_transaction, block: DataFrame, checkpoint: str):
-        """A started query that applies each micro-batch of a stream of transactions; per_transaction resolves a batch."""
-        return stream.writeStream.foreachBatch(lambda df, _: self.apply(df, block, per_transaction)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def window_columns(tx: DataFrame, out: DataFrame, chain: DataFrame, block: DataFrame, credit: DataFrame, start: str) -> DataFrame:
-    """The windowed columns of the dates of block from `start` on.
-
-    Transactions and credits are cut to the heights of those dates first. An address is new on a date if no credit
-    below those heights names it: history is read for the window's addresses only.
-    """
-    inside = block.where(F.col("date") >= start)
-    low = inside.agg(F.min("height")).first()[0]
-    recent = lambda df: df.where(F.col("height") >= low)
-    now = recent(credit).join(inside.select("height", "date"), "height")
-    first = now.groupBy("address").agg(F.min("date").alias("date"))
-    # Heights rise with time, but a block's date may lie before an earlier block's: both bounds are needed.
-    before = credit.join(block.where(F.col("date") < start).select("height"), "height", "left_semi").select("address")
-    known = before.join(first.select("address"), "address", "left_semi").distinct()
-    new = first.join(known, "address", "left_anti").groupBy("date").agg(F.count("*").alias("new_addresses"))
-    active = now.select("date", "address").distinct().groupBy("date").agg(F.count("*").alias("active_addresses"))
-    orphans = D.orphans_by_day(chain, block, utc_date).where(F.col("date") >= start)
-    days = D.difficulty_by_day(inside)
-    for part in (D.stakers_by_day(recent(tx), out, inside), D.interval_stats_by_day(block).where(F.col("date") >= start), active, new, orphans):
-        days = days.join(part, "date", "left")
-    return days.select("date", *(F.coalesce(c, F.lit(0)).cast("double" if c == "avg_difficulty" else "long").alias(c) for c in WINDOWED))
-
-
 def shadow_diff(a: DataFrame, b: DataFrame, columns: tuple[str, ...], relative: float = 1e-9) -> DataFrame:
     """(date, field, a, b) where two daily tables differ; dates of either side count."""
     j = a.select("date", F.struct(*(F.col(c).cast("double").alias(c) for c in columns)).alias("x")).join(b.select("date", F.struct(*(F.col(c).cast("double").alias(c) for c in columns)).alias("y")), "date", "full")

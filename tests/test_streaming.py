@@ -1,9 +1,8 @@
-"""Streams and stored tables: the live lane by micro-batches equals batch; exports round-trip."""
+"""Streams of samples and metrics, comparisons, exports; the live lane has tests of its own."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import daily as D
 from ledgerloom.plans import catalog
 from ledgerloom.sources import io
 from ledgerloom.sources.ledger import Ledger
@@ -17,57 +16,6 @@ def ledger(spark):
     return Ledger(spark, SF, keep=True)
 
 
-def test_micro_batches_equal_batch(spark, ledger, tmp_path):
-    for lo in range(0, 375, 125):
-        ledger.tx.where(F.col("height").between(lo, lo + 124)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/tx")
-    lane = live.LiveDaily(spark, f"{tmp_path}/live")
-    resolve = live.resolver(ledger.inp, ledger.out, ledger.tx, 1500)
-    stream = spark.readStream.schema(ledger.tx.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/tx")
-    lane.follow(stream, resolve, ledger.block, f"{tmp_path}/ckpt").awaitTermination()
-    assert lane.state()[1] == 374
-    assert live.shadow_diff(lane.daily(), live.day_deltas(catalog.ptx(ledger), ledger.block), live.ADDITIVE).count() == 0
-
-
-def test_windowed_columns_after_a_rewind(spark, ledger, tmp_path):
-    """All live columns equal the batch series after a rewind; without a new height the last days are computed again."""
-    lane = live.LiveDaily(spark, str(tmp_path))
-    resolve = live.resolver(ledger.inp, ledger.out, ledger.tx, 1500)
-    again = lambda: lane.recompute(ledger.tx, ledger.out, ledger.chain, ledger.block, catalog.credit(ledger))
-    again()
-    assert lane.series() is None
-    lane.apply(ledger.tx, ledger.block, resolve)
-    again()
-    lane.rewind(300, ledger.block)
-    lane.apply(ledger.tx, ledger.block, resolve)
-    again()
-    again()
-    batch = catalog.daily(ledger).where("tx_count > 0")
-    assert live.shadow_diff(lane.series(), batch, live.ADDITIVE + live.WINDOWED).count() == 0
-
-
-def test_split_and_late_blocks_equal_batch(spark, ledger, tmp_path):
-    """Blocks cut over two batches, batches out of order and replayed rows: nothing is lost or counted twice."""
-    rows = catalog.ptx(ledger).where("height <= 120").persist()
-    block = ledger.block.where("height <= 120")
-    lane = live.LiveDaily(spark, str(tmp_path))
-    part = lambda k: rows.where(f"(txid + height) % 3 = {k}")
-    lane.apply(part(1), block)
-    lane.apply(part(0), block)
-    assert lane.state()[1] < 120
-    lane.apply(part(0), block)
-    lane.apply(part(2), block)
-    assert lane.state()[1] == 120
-    assert live.shadow_diff(lane.daily(), live.day_deltas(rows, block), live.ADDITIVE).count() == 0
-    lane.apply(rows, block)
-    assert live.shadow_diff(lane.daily(), live.day_deltas(rows, block), live.ADDITIVE).count() == 0
-
-
-def test_deep_reorg_asks_for_a_rebuild(spark, ledger, tmp_path):
-    lane = live.LiveDaily(spark, str(tmp_path))
-    lane.apply(catalog.ptx(ledger), ledger.block)
-    assert not lane.rewind(10, ledger.block, max_blocks=100) and lane.rewind(374, ledger.block)
-
-
 def test_shadow_diff_finds_changes(spark):
     a = spark.createDataFrame([("d1", 1, 2), ("d2", 3, 4)], "date string, x long, y long")
     b = spark.createDataFrame([("d1", 1, 5), ("d3", 3, 4)], "date string, x long, y long")

@@ -25,12 +25,20 @@ def test_equal_balances_rank_in_address_order(spark):
     assert [r.address for r in V.rich_list(balances(spark, *held), 5).orderBy("rank").collect()] == want[:5]
 
 
-def test_wide_sums_and_whale(spark):
-    half = (1 << 63) // 2 - 1
-    t = balances(spark, ("a", half), ("b", half))
-    assert V.top_shares(t).first().total == 2 * half
-    assert V.nakamoto(t).first()[0] == 2
-    assert V.nakamoto(balances(spark, ("w", 1_000_000), ("a", 1), ("b", 1), ("c", 1))).first()[0] == 1
+def test_sums_beyond_64_bits_of_intermediate_terms(spark):
+    """Three balances near the largest that a column holds: the rank sum needs more than 64 bits, the total does not."""
+    third = (1 << 63) // 3
+    t = balances(spark, ("p", third), ("q", third - 7), ("r", third - 11))
+    assert V.top_shares(t).first().total == 3 * third - 18
+    assert V.nakamoto(t).first()[0] == 2 and V.gini(t).first()[0] == 0.0
+
+
+def test_exactly_half_is_not_more_than_half(spark):
+    """The largest holder has exactly half of all: one more holder is needed; one coin more, and it is enough."""
+    rest = [(f"h{k}", 4) for k in range(9)]
+    assert V.nakamoto(balances(spark, ("big", 36), *rest)).first()[0] == 2
+    assert V.nakamoto(balances(spark, ("big", 37), *rest)).first()[0] == 1
+    assert V.nakamoto(balances(spark, *rest)).first()[0] == 5  # nine equal ones
 
 
 def test_no_holders(spark):
@@ -39,9 +47,11 @@ def test_no_holders(spark):
     assert [r.n for r in V.histogram(t).collect()] == [0] * 7
 
 
-def test_histogram(spark):
-    t = balances(spark, ("a", COIN // 2), ("b", 5 * COIN), ("c", 50 * COIN), ("d", 0), ("e", -10))
-    assert [r.n for r in V.histogram(t).orderBy("lo_coins").collect()] == [1, 1, 1, 0, 0, 0, 0]
+def test_histogram_at_the_bounds_of_its_ranges(spark):
+    """A balance exactly at a range's lower bound belongs to it, one unit less to the range below; the top range is open."""
+    edges = [10**k * COIN for k in range(6)]
+    t = balances(spark, *((f"at{k}", x) for k, x in enumerate(edges)), *((f"under{k}", x - 1) for k, x in enumerate(edges)), ("top", 90_000_000 * COIN), ("one", 1))
+    assert [r.n for r in V.histogram(t).orderBy("lo_coins").collect()] == [2, 2, 2, 2, 2, 2, 2]
 
 
 @pytest.mark.parametrize(
@@ -93,7 +103,24 @@ def test_heavier_branch_wins(spark):
     chain = spark.createDataFrame(rows, "block_hash string, prev_hash string, nbits long")
     worked = H.cumulative_work(chain)
     assert H.best_tip(worked).first().block_hash == "b2"
-    assert {(r.height, r.block_hash) for r in H.canonical_chain(chain, worked).collect()} == {(0, "g"), (1, "b1"), (2, "b2")}
+    assert {(r.height, r.block_hash) for r in H.canonical_chain(worked).collect()} == {(0, "g"), (1, "b1"), (2, "b2")}
+
+
+def test_work_that_is_not_defined_is_an_error(spark):
+    chain = spark.createDataFrame([("g", None, 0x1B0FFFFF), ("a", "g", 0x030FFFFF)], "block_hash string, prev_hash string, nbits long")
+    with pytest.raises(Exception, match="no work is defined for the target of block a"):
+        H.cumulative_work(chain).collect()
+
+
+def test_forks_of_long_and_nested_branches(spark):
+    """Main chain of 40; a branch of 13, a branch off that branch, two blocks on one parent, and a branch of unknown root."""
+    easy = 0x1B0FFFFF
+    links = [("m0", None), *((f"m{k}", f"m{k - 1}") for k in range(1, 40)), ("s8", "m7"), *((f"s{k}", f"s{k - 1}") for k in range(9, 21)), ("t12", "s11"), ("t13", "t12"), ("u30", "m29"), ("v30", "m29"), ("z1", "nobody"), ("z2", "z1")]
+    chain = spark.createDataFrame([(*x, easy) for x in links], "block_hash string, prev_hash string, nbits long")
+    main = H.canonical_chain(H.cumulative_work(chain))
+    assert {(r.height, r.block_hash) for r in main.collect()} == {(k, f"m{k}") for k in range(40)}
+    got = {(r.tip_hash, r.tip_height, r.fork_hash, r.fork_height, r.depth) for r in H.fork_points(chain, main).collect()}
+    assert got == {("s20", 20, "m7", 7, 13), ("t13", 13, "m7", 7, 6), ("u30", 30, "m29", 29, 1), ("v30", 30, "m29", 29, 1)}
 
 
 def test_work_is_exact(spark):
