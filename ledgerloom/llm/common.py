@@ -58,21 +58,22 @@ def salted_join(rows: DataFrame, groups: DataFrame, key: str, size: str, most: i
     """rows joined with groups, which have one row for each key and the number of rows with it in `size`.
 
     Keys with more than one in `most` of all rows, fewer than `most` keys, are broadcast with a number of salts;
-    their rows are dealt over as many tasks by `mark`, and their groups are repeated. By default the mark is a hash of
-    the row; rows that repeat need `place()`, which may only be used on what a scan gives without a shuffle.
+    their rows are dealt over as many tasks by their places, so rows that repeat are parted too, and their groups are
+    repeated. rows must be a written table, or what a scan of files gives without a shuffle; for others, whose rows
+    must not repeat, `mark` is a hash to deal them by.
     """
     groups = written(groups, False)
     total = groups.agg(F.sum(size)).first()[0] or 0
     large = groups.where(F.col(size) * most > total).select(
         F.col(key).alias("_key"), F.ceil(F.col(size) * most / F.lit(max(total, 1))).cast("int").alias("_salts")
     )
-    mark = F.xxhash64(*rows.columns) if mark is None else mark
-    salted = rows.join(F.broadcast(large), rows[key] == F.col("_key"), "left").withColumn(
-        "_salt", F.when(F.col("_salts").isNotNull(), F.pmod(mark, F.col("_salts"))).otherwise(F.lit(0)).cast("int")
+    placed = rows.withColumn("_place", place() if mark is None else mark)
+    salted = placed.join(F.broadcast(large), placed[key] == F.col("_key"), "left").withColumn(
+        "_salt", F.when(F.col("_salts").isNotNull(), F.pmod("_place", F.col("_salts"))).otherwise(F.lit(0)).cast("int")
     )
     salts = F.when(F.col(size) * most > total, F.ceil(F.col(size) * most / F.lit(max(total, 1))).cast("int")).otherwise(F.lit(1))
     dealt = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return salted.drop("_key", "_salts").join(dealt, [key, "_salt"], how).drop("_salt")
+    return salted.drop("_key", "_salts", "_place").join(dealt, [key, "_salt"], how).drop("_salt")
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:

@@ -174,7 +174,7 @@ def exact_dedup(docs: DataFrame, table_bytes: int = 48 << 20) -> DataFrame:
     An empty table gives no rows; other columns, whatever their names, are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    light = rows.mapInArrow(_digests, "doc_id long, digest binary")
+    light = written(rows.mapInArrow(_digests, "doc_id long, digest binary"), False)
     joined = salted_join(light, content_classes(docs, table_bytes), "digest", "group_size")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
     return joined.select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"))

@@ -124,7 +124,7 @@ def buckets(nodes: DataFrame, depth: int, first_level: int, small: int) -> DataF
     leaves = None
     for level in range(first_level, depth):
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
-        sized = written(salted_join(rows, sizes, "bucket", "size"))
+        sized = written(salted_join(rows, sizes, "bucket", "size", mark=F.xxhash64("node", "run")))
         last = level == depth - 1
         done = sized if last else sized.where(F.col("size") <= small)
         leaves = done if leaves is None else leaves.unionByName(done)

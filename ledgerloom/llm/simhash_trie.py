@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, place, salted_join, written
+from .common import discard, salted_join, written
 from .jaccard_join import components
 
 BITS = 64
@@ -256,7 +256,7 @@ def cells_of(fps: DataFrame, tries: Tries, bound: int, step: int = 4) -> DataFra
         rows = written(rows)
         sizes = rows.groupBy(*_CELL).agg(F.count("*").alias("_n"), F.count(F.when(F.col("side") != 2, 1)).alias("_na"), F.count(F.when(F.col("side") == 2, 1)).alias("_nb"))
         key = F.xxhash64(*_CELL).alias("_cell")
-        sized = salted_join(rows.withColumn("_cell", key), sizes.select(*(F.col(c).alias(f"_{c}") for c in _CELL), "_n", "_na", "_nb", key), "_cell", "_n", mark=place())
+        sized = salted_join(rows.withColumn("_cell", key), sizes.select(*(F.col(c).alias(f"_{c}") for c in _CELL), "_n", "_na", "_nb", key), "_cell", "_n")
         sized = sized.where(" AND ".join(f"{c} = _{c}" for c in _CELL)).where("(side = 0 AND _n > 1) OR (_na > 0 AND _nb > 0)")
         sized = written(sized.withColumn("_large", (F.col("_n") > bound) & (F.col("depth") < BITS - step)).select(*_CELL, "side", "fp", "t", "_large"))
         discard(rows)
@@ -302,4 +302,4 @@ def simhash_near_duplicates(docs: DataFrame, errors: int = 4, words: int = 4, bo
     least = known.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_m"))
     by_fp = salted_join(known, least, "root", "_m").select("fp", "component_id", "_n")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return salted_join(light, by_fp, "fp", "_n", mark=place()).select("doc_id", digits, "component_id")
+    return salted_join(light, by_fp, "fp", "_n").select("doc_id", digits, "component_id")

@@ -4,8 +4,10 @@ import re
 from collections import Counter
 
 import brute
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import exact_dedup, jaccard_join, language_id, packing, pii, piece_codec, quality_pu, quality_rules, substring_dedup, toxicity
+from ledgerloom.llm.common import salted_join
 from test_exact_results import PIECES, WORD_BPE
 
 
@@ -76,3 +78,23 @@ def test_other_operators_pass_rows_through(repeated, repeated_rows, labels):
     for r in packing.pack_documents(repeated, WORD_BPE).collect():
         tokens[r.doc_id] += r.length
     assert set(tokens) == set(ids) and tokens[8] == 2
+
+
+def test_equal_rows_of_one_key_are_dealt_over_tasks(spark, tmp_path):
+    """10,000 equal rows of one key, a third of all: no task of the join gets more than a few of them."""
+    hot = spark.range(0, 10_000, 1, 8).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'hot' AS k")
+    cold = spark.range(0, 20_000, 1, 8).selectExpr("id AS doc_id", "CAST(id AS STRING) AS k")
+    hot.unionByName(cold).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for c, v in zip(before, ("-1", "64", "false"), strict=True):
+            spark.conf.set(c, v)
+        joined = salted_join(rows, groups, "k", "n").withColumn("p", F.spark_partition_id())
+        assert joined.count() == 30_000 and joined.where("k = 'hot'").where("n = 10000").count() == 10_000
+        tasks = [r["count"] for r in joined.where("k = 'hot'").groupBy("p").count().collect()]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert len(tasks) > 40 and max(tasks) < 1000
