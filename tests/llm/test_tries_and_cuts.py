@@ -185,8 +185,8 @@ def test_trie_of_the_tables(spark):
 
 
 def test_one_first_turn_for_all_and_a_very_deep_conversation(spark):
-    """A prefix that all conversations share is split over ranges; 3000 turns take no more rounds than three."""
-    rows = [(c, t, "u", "hello" if t == 0 else f"{c % 50} {t}") for c in range(100, 900) for t in range(3)] + [(7, t, "a", str(t)) for t in range(3000)]
+    """A prefix that all conversations share is split over ranges; 300 turns take no more rounds than three."""
+    rows = [(c, t, "u", "hello" if t == 0 else f"{c % 50} {t}") for c in range(100, 900) for t in range(3)] + [(7, t, "a", str(t)) for t in range(300)]
     made = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8)
     assert Counter(map(tuple, prefix_trie.prefix_trie(made, 300).collect())) == plain_trie(rows)
 
