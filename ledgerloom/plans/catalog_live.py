@@ -1,4 +1,4 @@
-"""Registered ledger queries of the live lane, the orphan tail and forks, all run over their own stored state."""
+"""Registered ledger queries of the live lane, the orphan tail, forks, the mempool and alert states."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..operators import chain as H
 from ..operators import daily as D
 from ..sources.ledger import Ledger, utc_date
-from ..streaming import lane, live, tail
+from ..streaming import lane, live, monitor, tail
 from .catalog import ptx, query, tip
+from .catalog_pages import _P95, _SEEN, seen
 from .scratch import shared_dir, written
 
 # --- J1 to J4: the daily series kept live
@@ -185,3 +186,71 @@ def reorg_checks(L):
     met = forks.withColumn("local_height", F.explode(F.sequence("fork_height", F.col("tip_height") + 2))).join(main.select(F.col("height").alias("local_height")), "local_height", "left_semi")
     same = F.col("local_height") <= F.col("fork_height")
     return met.select(F.col("tip_hash").alias("remote_tip"), "local_height", H.reorg_height(F.col("local_height"), F.col("tip_height"), same).alias("back_to"))
+
+
+# --- J6, J7: the mempool by snapshots and the feed of all changes
+
+
+def mempool_of(L: Ledger) -> monitor.Mempool:
+    """The mempool after all hourly snapshots, brought in four batches, the second twice."""
+    made = monitor.Mempool(L.spark, f"{shared_dir(L.spark)}/mempool/{uuid.uuid4().hex}")
+    rows = written(seen(L).select(F.col("user_id").alias("txid"), F.col("hour").alias("at")), False)
+    lo, hi = rows.agg(F.min("at"), F.max("at")).first()
+    edge = [lo + (hi - lo) * k // 4 for k in range(4)] + [hi]
+    for a, b in ((lo - 1, edge[1]), (edge[1], edge[2]), (edge[1], edge[2]), (edge[2], edge[3]), (edge[3], hi)):
+        made.apply(rows.where((F.col("at") > a) & (F.col("at") <= b)))
+    return made
+
+
+_STAYS = f""", seen AS ({_SEEN}), polls AS (SELECT hour, row_number() OVER (ORDER BY hour) AS k FROM (SELECT DISTINCT hour FROM seen)),
+runs AS (SELECT user_id, k, hour, k - row_number() OVER (PARTITION BY user_id ORDER BY k) AS run FROM seen JOIN polls USING (hour)),
+stays AS (SELECT user_id, min(hour) AS first_seen, max(k) AS hi FROM runs GROUP BY user_id, run),
+changes AS (SELECT first_seen AS "at", user_id AS txid, 'added' AS kind, first_seen FROM stays UNION ALL SELECT p.hour, user_id, 'removed', first_seen FROM stays JOIN polls p ON p.k = hi + 1)"""
+
+
+@query(f'{_STAYS} SELECT "at", txid, kind, first_seen FROM changes')
+def mempool_changes(L):
+    """What each snapshot added and removed, with the time since which an entry was there."""
+    return mempool_of(L).table("changes")
+
+
+@query(f"{_STAYS} SELECT user_id AS txid, first_seen FROM stays WHERE hi = (SELECT max(k) FROM polls)")
+def mempool_entries(L):
+    return mempool_of(L).table("entries")
+
+
+@query(f"""{_STAYS} SELECT 'block' AS kind, CAST(height AS VARCHAR) AS id, ntime AS "at" FROM block UNION ALL SELECT 'tx', CAST(txid AS VARCHAR), ntime FROM tx JOIN block USING (height)
+  UNION ALL SELECT 'reorg', block_hash, ntime FROM chain WHERE stale = 1 UNION ALL SELECT concat('mempool_', kind), CAST(txid AS VARCHAR), "at" FROM changes""")
+def feed_of_all_changes(L):
+    txs = L.tx.select("txid", "height").join(L.block.select("height", "ntime"), "height")
+    return monitor.feed_events(L.block, txs, L.chain.where("stale = 1"), mempool_of(L).table("changes"))
+
+
+# --- J16: alerts with states
+
+_SPIKE, _SPIKE_TYPES = 2, ("error", "signup")  # more than so many of these in five minutes
+_T = "SELECT DISTINCT event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events WHERE ts IS NOT NULL"
+_STATES = f"""
+, slow AS (SELECT concat('slow ', event_type) AS rule, start AS "at" FROM ({_P95}) WHERE p95 > 100),
+spike AS (SELECT 'errors' AS rule, w AS "at" FROM (SELECT unnest([CAST(floor(epoch(ts)) AS BIGINT) // 30 * 30 - 30 * k FOR k IN range(0, 10)]) AS w FROM events WHERE event_type IN {_SPIKE_TYPES}) GROUP BY w HAVING count(*) > {_SPIKE}),
+silent AS (SELECT concat('silent ', event_type) AS rule, unnest(range(lo, hi + 30, 30)) AS "at" FROM (
+  SELECT event_type, (since // 30 + 1) * 30 AS lo, (until - 300) // 30 * 30 AS hi FROM (SELECT event_type, t AS since, lead(t) OVER (PARTITION BY event_type ORDER BY t) AS until FROM ({_T})) WHERE until - since >= 300) WHERE lo <= hi),
+holds AS (SELECT *, 180 AS secs FROM slow UNION ALL SELECT *, 60 FROM spike UNION ALL SELECT *, 300 FROM silent),
+stay AS (SELECT rule, secs, min("at") AS a, max("at") AS z FROM (SELECT *, "at" - 30 * row_number() OVER (PARTITION BY rule ORDER BY "at") AS run FROM holds) GROUP BY rule, secs, run),
+ends AS (SELECT max(t) // 30 * 30 AS last FROM ({_T}))
+SELECT rule, a AS "at", 'pending' AS state FROM stay UNION ALL SELECT rule, a + secs, 'firing' FROM stay WHERE z - a >= secs
+UNION ALL SELECT rule, z + 30, CASE WHEN z - a >= secs THEN 'resolved' ELSE 'inactive' END FROM stay, ends WHERE z + 30 <= last"""
+
+
+@query(_STATES)
+def alert_states(L):
+    """Three rules over five-minute windows: a high 95th percentile, a sum of errors, and silence; with all their states."""
+    events = L.table("events")
+    last = events.agg((F.floor(F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))) / 30) * 30).cast("long").alias("last"))
+    named = lambda df, word, at: df.select(F.concat(F.lit(f"{word} "), F.col("event_type")).alias("rule"), F.col(at).alias("at"))
+    slow = named(live.bucket_quantiles(events, 0.95).where("p95 > 100"), "slow", "start")
+    some = live.alert_windows(events.where(F.col("event_type").isin(*_SPIKE_TYPES))).groupBy(F.col("start").alias("at")).agg(F.sum("n").alias("n"))
+    spike = some.where(F.col("n") > _SPIKE).select(F.lit("errors").alias("rule"), "at")
+    silent = named(monitor.silences(events), "silent", "at")
+    parts = [monitor.transitions(h, s, last) for h, s in ((slow, 180), (spike, 60), (silent, 300))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
