@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import chain as H
 from ..operators import daily as D
 from ..sources.ledger import Ledger, utc_date
-from ..streaming import lane, live, monitor, tail
-from .catalog import ptx, query, tip
+from ..streaming import lane, live, monitor, tail, wealth_state
+from .catalog import PLAIN_SQL, credit, debit, ptx, query, tip
 from .catalog_pages import _P95, _SEEN, seen
 from .scratch import shared_dir, written
 
@@ -254,3 +254,30 @@ def alert_states(L):
     silent = named(monitor.silences(events), "silent", "at")
     parts = [monitor.transitions(h, s, last) for h, s in ((slow, 180), (spike, 60), (silent, 300))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# --- J12: wealth kept from balance changes
+
+
+def wealth_of(L: Ledger) -> wealth_state.WealthState:
+    """The wealth state after the ledger's credits and debits in four batches, in ranges of a few hundred holders."""
+    made = wealth_state.WealthState(L.spark, f"{shared_dir(L.spark)}/wealth/{uuid.uuid4().hex}", bound=500)
+    flows = credit(L).select("address", "height", F.col("value").alias("delta")).unionByName(debit(L).select("address", "height", (-F.col("value")).alias("delta")))
+    flows = written(flows, False)
+    top = tip(L).first().tip
+    for k in range(4):
+        lo, hi = (top + 1) * k // 4, (top + 1) * (k + 1) // 4 - 1
+        made.apply(flows.where(F.col("height").between(lo, hi)).select("address", "delta"), lo, hi)
+    return made
+
+
+@query("SELECT rank, address, balance FROM rich")
+def live_rich_list(L):
+    return wealth_of(L).rich_list().select("rank", "address", "balance")
+
+
+@query(f"""SELECT CAST(holders AS BIGINT) AS holders, CAST(total AS BIGINT) AS total, gini, nakamoto
+  FROM (SELECT count(*) AS holders, sum(balance) AS total FROM holders), ({PLAIN_SQL["gini"]}), ({PLAIN_SQL["nakamoto"]})""")
+def live_wealth(L):
+    made = wealth_of(L)
+    return L.spark.createDataFrame([(*made.totals(), made.gini(), made.nakamoto())], "holders long, total long, gini double, nakamoto long")

@@ -29,7 +29,7 @@ class Run:
     """A folder of rows of heights lo to hi; the rows above hi, if the folder has any, are cut off.
 
     last is the greatest date, where rows have one. Rows lie in `buckets` folders by their key's slot, `empty` names
-    those that don't exist.
+    those that don't exist. extra is what else a table says of a run.
     """
 
     path: str
@@ -40,6 +40,7 @@ class Run:
     last: str | None = None
     buckets: int = 1
     empty: list[int] = field(default_factory=list)
+    extra: dict = field(default_factory=dict)
 
 
 class Files:
@@ -128,7 +129,7 @@ class Store:
         known = self.versions()
         for v in known[:-keep]:
             self.files.remove(f"log/{v:020d}.json")
-        named = {r.path.split("/", 1)[1] for v in known[-keep:] for runs in self.read(v).tables.values() for r in runs}
+        named = {r.path.split("/")[1] for v in known[-keep:] for runs in self.read(v).tables.values() for r in runs}
         gone = [n for n in self.files.names("data") if n not in named]
         for n in gone:
             self.files.remove(f"data/{n}")
