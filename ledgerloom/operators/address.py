@@ -65,3 +65,31 @@ def account_rollup(derived: DataFrame, totals: DataFrame, txs: DataFrame) -> Dat
     rows = derived.join(totals, "address", "left").join(n, "address", "left")
     s = lambda c: F.coalesce(wide(c), F.lit(0)).cast("long")
     return rows.groupBy("account").agg(s("received").alias("received"), s("sent").alias("sent"), s("balance").alias("balance"), F.count("n").alias("used"), F.coalesce(F.sum("n"), F.lit(0)).alias("transfers"))
+
+
+def page(txs: DataFrame, totals: DataFrame, details: DataFrame, number: int, size: int, level: str = "txids") -> DataFrame:
+    """One row for each address of txs(address, txid, height): page, total_pages, items, txs, balance, received, sent, txids, transactions.
+
+    Newest first by height, equal heights by txid. number is at least 1, size from 1 to 1000; there is at least one
+    page, and a page past the end is empty. level: basic (neither list), txids, or txs, which has txid:height:fee
+    of details(txid, fee) for each transaction; any other word counts as txids.
+    """
+    number, size = max(1, number), min(max(1, size), 1000)
+    newest = W.partitionBy("address").orderBy(F.desc("height"), "txid")
+    place = txs.withColumn("_pos", F.row_number().over(newest))
+    here = place.where(F.col("_pos").between((number - 1) * size + 1, number * size))
+    if level == "txs":
+        here = here.join(details.select("txid", "fee"), "txid")
+    entry = F.concat_ws(":", *(F.col(c).cast("string") for c in ("txid", "height", "fee"))) if level == "txs" else F.lit("")
+    lists = F.sort_array(F.collect_list(F.struct("_pos", "txid", entry.alias("_e"))))  # at most `size` entries
+    listed = here.groupBy("address").agg(F.count("*").alias("items"), lists.alias("_l"))
+    id_type = dict(txs.dtypes)["txid"]
+    none, empty = F.lit(None), F.array()
+    txids = none.cast(f"array<{id_type}>") if level in ("basic", "txs") else F.coalesce(F.col("_l.txid"), empty.cast(f"array<{id_type}>"))
+    whole = F.coalesce(F.col("_l._e"), empty.cast("array<string>")) if level == "txs" else none.cast("array<string>")
+    n = txs.groupBy("address").agg(F.count("*").alias("txs"))
+    rows = n.join(totals, "address").join(listed, "address", "left")
+    return rows.select(
+        "address", F.lit(number).alias("page"), F.greatest(div(F.col("txs") + size - 1, size), F.lit(1)).alias("total_pages"), F.coalesce("items", F.lit(0)).cast("long").alias("items"),
+        "txs", "balance", "received", "sent", txids.alias("txids"), whole.alias("transactions"),
+    )
