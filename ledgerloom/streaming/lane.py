@@ -181,11 +181,10 @@ class Lane:
             made["window"] = self._window(was.runs("window"), made, block.where(F.col("height") <= reached), chain, min(lo, seen_to + 1), reached)
         return made
 
-    @staticmethod
-    def _together(*parts) -> dict:
+    def _together(self, *parts) -> dict:
         """The tables that all parts make, each in a thread of its own: the jobs of a small batch are short and many."""
         with ThreadPoolExecutor(len(parts)) as pool:
-            return {name: runs for made in [pool.submit(inheritable_thread_target(p)) for p in parts] for name, runs in made.result().items()}
+            return {name: runs for made in [pool.submit(inheritable_thread_target(self.spark)(p)) for p in parts] for name, runs in made.result().items()}
 
     def _kept(self, facts: list, block: DataFrame, reached: int) -> list:
         """Facts of days that a rewind or the next batches may still ask for."""
