@@ -50,6 +50,41 @@ def test_quality_edges(edge, empty, labels):
     assert {r.score for r in quality_pu.quality_scores(edge, labels.where("false")).collect()} == {0.5}
 
 
+def test_all_rows_count_as_unlabelled_and_repeats_do_not_swell_the_sample(docs, labels, monkeypatch):
+    """A third of all rows repeats one id: the passes see every open row once, the sample one row for an id."""
+    seen, sampled = [], []
+    sums, sample = quality_pu.TableRows.sums, quality_pu._sample
+    monkeypatch.setattr(quality_pu.TableRows, "sums", lambda self, w: seen.append(sums(self, w)) or seen[-1])
+    monkeypatch.setattr(quality_pu, "_sample", lambda df: sampled.append(sample(df)) or sampled[-1])
+    good = labels.where("quality = 1 AND doc_id % 5 = 2").select("doc_id").limit(50)
+    hot = next(r.doc_id for r in good.collect() if not brute.held_out(r.doc_id))
+    repeated = docs.unionByName(docs.where(f"doc_id = {hot}").crossJoin(docs.sparkSession.range(500)).drop("id"))
+    quality_pu.train(repeated, labels, positives=10**6)
+    n_open = sum(not brute.held_out(r.doc_id) for r in repeated.select("doc_id").collect())
+    assert {int(a[0] + b[0]) for a, b in seen} == {n_open}
+    assert len(sampled[0]) == labels.where("quality = 1").where(~quality_pu.held_out()).count()
+
+
+def test_sums_do_not_depend_on_how_rows_are_dealt():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 6, (9001, 3)) + np.array([0, 6, 12])
+    w = rng.normal(0, 1, 19)
+    parts = sum(quality_pu.loss_sums(x, w) for x in np.array_split(rows[rng.permutation(9001)], 7))
+    whole = quality_pu.loss_sums(rows, w)
+    assert np.array_equal(parts, whole)
+    g = w[rows].sum(1) + w[-1]
+    assert whole[1] / quality_pu._UNIT == pytest.approx(np.log1p(np.exp(g)).sum(), rel=1e-6)
+
+
+def test_edges_of_a_table_are_quantiles(docs):
+    measured = quality_pu._measured(docs)
+    x = np.array([r.x for r in measured.collect()])
+    for k, (got, column) in enumerate(zip(quality_pu._table_edges(measured, 16), x.T, strict=True)):
+        coarse = np.sort(quality_pu._coarse(column))
+        want = np.unique([coarse[int(np.ceil(i / 16 * len(coarse))) - 1] for i in range(1, 16)])
+        assert np.array_equal(got, want), k
+
+
 def test_non_negative_risk_finds_negatives():
     rng = np.random.default_rng(1)
     good, bad = rng.normal(0, 1, (3000, 2)), rng.normal(4, 1, (1000, 2))
