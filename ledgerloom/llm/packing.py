@@ -23,6 +23,7 @@ from .common import text_slices
 
 _OUT = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 _TOKENIZERS: dict = {}
+_ENTRY = 160  # bytes of an entry of a table beside its key's and value's own
 
 
 # The words for which the normaliser and the pre-tokenizer do no more than these two: Latin-1 without blanks,
@@ -41,25 +42,31 @@ def _byte_letters() -> dict[int, str]:
 class WordCache:
     """Ids of texts, remembered by word and by part of a word: no token of the vocabulary spans white space.
 
-    Words are cut at ASCII white space only. The memory is bounded: beyond max_words a table is emptied.
+    Words are cut at ASCII white space only. The memory is bounded in bytes: a table that holds max_bytes is emptied
+    before the next texts, and words or parts of more than `longest` bytes are not remembered beyond them.
     """
 
-    def __init__(self, path: str, max_words: int) -> None:
+    def __init__(self, path: str, max_bytes: int, longest: int = 256) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
+        self.tokenizer, self.max_bytes, self.longest = Tokenizer.from_file(path), max_bytes, longest
         self.ids: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.ids_bytes = self.parts_bytes = 0
         self.letters = _byte_letters()
 
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            if len(self.parts) > self.max_words:
-                self.parts.clear()
             spelt = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-            found = self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
+            found = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
+            if len(part) <= self.longest:
+                if self.parts_bytes > self.max_bytes:
+                    self.parts.clear()
+                    self.parts_bytes = 0
+                self.parts[part] = found
+                self.parts_bytes += _ENTRY + len(part) + len(found)
         return found
 
     def word(self, word: str) -> bytes:
@@ -71,19 +78,27 @@ class WordCache:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
         split = [t.encode().split() for t in texts]
-        if len(self.ids) > self.max_words:
+        if self.ids_bytes > self.max_bytes:
             self.ids.clear()
+            self.ids_bytes = 0
+        long = []
         for w in set().union(*split):
             if w not in self.ids:
-                self.ids[w] = self.word(w.decode())
-        for words in split:
-            yield b"".join(map(self.ids.__getitem__, words))
-
-
-def tokenizer(path: str, max_words: int = 300_000) -> WordCache:
+                found = self.ids[w] = self.word(w.decode())
+                if len(w) > self.longest:
+                    long.append(w)
+                else:
+                    self.ids_bytes += _ENTRY + len(w) + len(found)
+        out = [b"".join(map(self.ids.__getitem__, words)) for words in split]
+        for w in long:
+            del self.ids[w]
+        return iter(out)
+
+
+def tokenizer(path: str, max_bytes: int = 64 << 20) -> WordCache:
     """One per Python worker."""
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordCache(path, max_words)
+        _TOKENIZERS[path] = WordCache(path, max_bytes)
     return _TOKENIZERS[path]
 
 

@@ -23,6 +23,8 @@ from .common import text_slices
 MARK = "▁"
 _SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 _UNKNOWN_PENALTY = 10.0
+_ENTRY = 160  # bytes of an entry of a word table beside its key's and value's own
+_LONG_RUN = 1024  # bytes of a word that is searched by itself
 _UNUSED = -1e8  # scores below mark pieces that are listed but never competitive
 
 
@@ -100,7 +102,10 @@ class Vocabulary:
     def viterbi(self, words: list[bytes]) -> list[bytes]:
         """The best ids of each word, as little-endian unsigned 32-bit numbers. Of equal scores, the earlier start wins."""
         out: list[bytes] = [b""] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        order = sorted((i for i in range(len(words)) if len(words[i]) <= _LONG_RUN), key=lambda i: len(words[i]))
+        for i, w in enumerate(words):
+            if len(w) > _LONG_RUN:
+                out[i] = self._long_run(w)
         at = 0
         while at < len(order):  # words of similar length, about 1 MB of cells together
             n = min(max(1, (1 << 17) // (len(words[order[min(at + 4096, len(order) - 1)]]) + 1)), len(order) - at)
@@ -173,6 +178,59 @@ class Vocabulary:
                 own += [int(ids[k])] if ids[k] >= 0 else [int(self.byte_ids[c]) for c in w[start[k] : stop[k]]]
             yield np.array(own, "<u4").tobytes()
 
+    def _matches(self, cells: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(start, end, piece) of all pieces that occur in these bytes, one array for each length."""
+        at, node = np.arange(len(cells)), np.zeros(len(cells), np.int64)
+        for t in range(self.longest):
+            inside = at + t < len(cells)
+            at, node = at[inside], node[inside]
+            nxt = self.base[node].astype(np.int64) + cells[at + t]
+            ok = (nxt < len(self.check)) & (self.check[np.minimum(nxt, len(self.check) - 1)] == node)
+            at, node = at[ok], nxt[ok]
+            if not len(at):
+                return
+            hit = self.value[node] >= 0
+            yield at[hit], at[hit] + t + 1, self.value[node[hit]].astype(np.int64)
+
+    def _long_run(self, word: bytes, window: int = 1 << 16) -> bytes:
+        """The best ids of one long word. Pieces are found at all places together, windows of a bounded size at a time;
+        what is left for each byte is to compare the scores of the few pieces that start there."""
+        n = len(word)
+        cells = np.frombuffer(word, np.uint8)
+        step = np.select([cells < 0x80, cells < 0xC0, cells < 0xE0, cells < 0xF0], [1, 0, 2, 3], 4)  # 0: inside a character
+        best, since, piece = [-np.inf] * (n + 5), np.zeros(n + 5, np.int64), np.full(n + 5, -1, np.int64)
+        best[0] = 0.0
+        scores, unknown = self.scores, self.unknown
+        for first in range(0, n, window):
+            own = [x for x in self._matches(cells[first : first + window + self.longest])]
+            start, end, found = (np.concatenate([x[k] for x in own]) if own else np.zeros(0, np.int64) for k in range(3))
+            keep = start < window
+            order = np.lexsort((end[keep], start[keep]))
+            start, end, found = (x[keep][order] for x in (start, end, found))
+            bounds = np.searchsorted(start, np.arange(window + 1)).tolist()
+            ends, gains, ids = (end + first).tolist(), scores[found].tolist(), found.tolist()
+            steps = step[first : first + window].tolist()
+            for i, char in enumerate(steps):
+                s = first + i
+                here = best[s]
+                if here == -np.inf:
+                    continue
+                bare = s + (char or 1)
+                for k in range(bounds[i], bounds[i + 1]):
+                    t, new = ends[k], here + gains[k]
+                    if t == s + char:
+                        bare = 0
+                    if new > best[t]:
+                        best[t], since[t], piece[t] = new, s, ids[k]
+                if bare and here + unknown > best[bare]:
+                    best[bare], since[bare], piece[bare] = here + unknown, s, -1
+        out, t = [], n
+        while t > 0:
+            s, p = int(since[t]), int(piece[t])
+            out.append(np.array([p], "<u4").tobytes() if p >= 0 else self.byte_ids[cells[s:t]].astype("<u4").tobytes())
+            t = s
+        return b"".join(out[::-1])
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that form no character become U+FFFD. The blank put before a text goes."""
         first, last = self.surface_at[ids], self.surface_at[ids.astype(np.int64) + 1]
@@ -184,20 +242,29 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes whole texts, remembering the ids of at most max_words words."""
+    """Encodes whole texts, remembering words of up to `longest` characters until they take max_bytes."""
 
-    def __init__(self, vocabulary: Vocabulary, max_words: int = 400_000) -> None:
-        self.vocabulary, self.max_words, self.ids = vocabulary, max_words, {}
+    def __init__(self, vocabulary: Vocabulary, max_bytes: int = 96 << 20, longest: int = 256) -> None:
+        self.vocabulary, self.max_bytes, self.longest, self.ids, self.ids_bytes = vocabulary, max_bytes, longest, {}, 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """A blank is put before every text that isn't empty; no piece spans a blank that follows another character."""
         words = [_SEGMENT.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        if len(self.ids) > self.max_words:
+        if self.ids_bytes > self.max_bytes:
             self.ids.clear()
+            self.ids_bytes = 0
         new = [w for w in set().union(*words) if w not in self.ids]
+        long = []
         for w, ids in zip(new, self.vocabulary.viterbi([w.encode() for w in new]), strict=True):
             self.ids[w] = ids
-        return [b"".join(map(self.ids.__getitem__, w)) for w in words]
+            if len(w) > self.longest:
+                long.append(w)
+            else:
+                self.ids_bytes += _ENTRY + len(w) + len(ids)
+        out = [b"".join(map(self.ids.__getitem__, w)) for w in words]
+        for w in long:
+            del self.ids[w]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
