@@ -35,7 +35,7 @@ def network_report(days: DataFrame) -> DataFrame:
 
 
 def delegation_curve(daily: DataFrame) -> DataFrame:
-    """Cumulative net delegation; one row a day, so the window is small."""
+    """Cumulative net delegation, exact beyond 64 bits; one row a day, so the window is small."""
     run = W.orderBy("date").rowsBetween(W.unboundedPreceding, 0)
     net = (F.col("p2cs_created") - F.col("p2cs_spent")).cast("decimal(28,0)")
-    return daily.select("date", "blocks", "p2cs_created", "p2cs_spent", F.sum(net).over(run).cast("long").alias("cumulative"), "coldstake_txs")
+    return daily.select("date", "blocks", "p2cs_created", "p2cs_spent", F.sum(net).over(run).cast("decimal(38,0)").alias("cumulative"), "coldstake_txs")

@@ -29,9 +29,9 @@ def rich_list(totals: DataFrame, keep: int = 1000) -> DataFrame:
 
 
 def top_shares(totals: DataFrame) -> DataFrame:
-    """One row: holders, total and the sums of the top 10, 50, 100 and 1000."""
-    all_ = holders(totals).agg(F.count("*").alias("holders"), F.coalesce(wide("balance"), F.lit(0)).cast("long").alias("total"))
-    s = lambda n: F.coalesce(wide(F.when(F.col("rank") <= n, F.col("balance"))), F.lit(0)).cast("long").alias(f"top{n}")
+    """One row: holders, total and the sums of the top 10, 50, 100 and 1000, exact beyond 64 bits."""
+    all_ = holders(totals).agg(F.count("*").alias("holders"), F.coalesce(wide("balance"), F.lit(0)).cast("decimal(38,0)").alias("total"))
+    s = lambda n: F.coalesce(wide(F.when(F.col("rank") <= n, F.col("balance"))), F.lit(0)).cast("decimal(38,0)").alias(f"top{n}")
     return all_.crossJoin(rich_list(totals).agg(s(10), s(50), s(100), s(1000)))  # one row each
 
 
@@ -85,7 +85,8 @@ def histogram(rows: DataFrame, value: str = "balance") -> DataFrame:
 
 
 def hodl_bands(utxo: DataFrame, tip: DataFrame, per_day: int = 1440) -> DataFrame:
+    """(band, value): unspent value by age, each output once; sums are exact beyond 64 bits."""
     from ..functions.scalars import hodl_band
 
     rows = utxo.select("txid", "vout", "value", "height").dropDuplicates(["txid", "vout"]).crossJoin(F.broadcast(tip))  # tip is one row
-    return rows.where("height BETWEEN 0 AND tip").groupBy(hodl_band(F.col("tip") - F.col("height"), per_day).alias("band")).agg(wide("value").cast("long").alias("value"))
+    return rows.where("height BETWEEN 0 AND tip").groupBy(hodl_band(F.col("tip") - F.col("height"), per_day).alias("band")).agg(wide("value").alias("value"))

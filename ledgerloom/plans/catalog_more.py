@@ -14,7 +14,8 @@ from ..operators import reports as R
 from ..operators import wealth as V
 from ..sources.ledger import COIN, wide
 from ..streaming import live
-from .catalog import _TALLY, _VOTED, OPERATORS, PLAIN_SQL, allocation_sql, credit, daily, days, debit, joined, ptx, query, tip, totals, utxo  # noqa: F401
+from .catalog import _TALLY, _VOTED, OPERATORS, PLAIN_SQL, allocation_sql, credit, daily, days, debit, denominator, joined, ptx, query, tip, totals, utxo  # noqa: F401
+from .scratch import exact
 
 
 @query("SELECT txid, height, CASE WHEN height = 0 THEN 'genesis' ELSE 'canonical' END AS status, height > 100 AS is_pos FROM tx")
@@ -77,7 +78,7 @@ def mempool_totals(L):
 def supply_snapshot(L):
     u = utxo(L).select("txid", "vout", "value", "ty").distinct()
     s = u.agg(wide(F.when(F.col("ty") == 0, F.col("value")).otherwise(0)).alias("a"), wide(F.when(F.col("ty") != 0, F.col("value")).otherwise(0)).alias("b"), wide("value").alias("t"))
-    return s.select(F.col("a").cast("long").alias("transparent"), F.col("b").cast("long").alias("staked"), F.when(F.col("t") > 0, F.round(F.col("b").cast("double") * 100.0 / F.col("t").cast("double"), 6)).otherwise(0.0).alias("staked_pct"))
+    return exact(s.select(F.col("a").alias("transparent"), F.col("b").alias("staked"), F.when(F.col("t") > 0, F.round(F.col("b").cast("double") * 100.0 / F.col("t").cast("double"), 6)).otherwise(0.0).alias("staked_pct")), "transparent", "staked")
 
 
 @query("SELECT o.txid, o.vout FROM outs o WHERE EXISTS (SELECT 1 FROM inp i WHERE i.prev_txid = o.txid AND i.prev_vout = o.vout) AND NOT EXISTS (SELECT 1 FROM inp i JOIN tx USING (txid) WHERE i.prev_txid = o.txid AND i.prev_vout = o.vout AND tx.height < 100)")
@@ -96,14 +97,14 @@ def treasury_history(L):
 @query("SELECT date, cumulative FROM (SELECT date, blocks, CAST(sum(p2cs_created - p2cs_spent) OVER (ORDER BY date) AS BIGINT) AS cumulative FROM daily) WHERE date <> (SELECT date FROM tip) ORDER BY date DESC LIMIT 30")
 def cold_staking_report(L):
     """The curve over all days first, then trimmed, then the last 30."""
-    return D.complete_days(R.delegation_curve(daily(L)), tip(L).select("date"), 30, 1, slice_first=False).select("date", "cumulative")
+    return exact(D.complete_days(R.delegation_curve(daily(L)), tip(L).select("date"), 30, 1, slice_first=False).select("date", "cumulative"), "cumulative")
 
 
 @query(f"""SELECT s.n, CAST(d.denominator AS DOUBLE) AS total, round(CAST(t.v AS DOUBLE) * 100.0 / CAST(d.denominator AS DOUBLE), 6) AS share
   FROM (SELECT count(*) AS n FROM holders) s, ({PLAIN_SQL["supply_denominator"]}) d, (SELECT sum(balance) AS v FROM rich WHERE rank <= 100) t""")
 def wealth_report(L):
     """Holders, the supply (each coin once) and the share of the hundred largest in it."""
-    s = V.top_shares(totals(L)).crossJoin(OPERATORS["supply_denominator"](L))  # one row each
+    s = V.top_shares(totals(L)).crossJoin(denominator(L))  # one row each
     total = F.col("denominator").cast("double")
     return s.select(F.col("holders").alias("n"), total.alias("total"), F.round(F.col("top100").cast("double") * 100.0 / total, 6).alias("share"))
 

@@ -14,6 +14,7 @@ from ..sources.ledger import wide
 from ..streaming import live
 from . import catalog as C
 from .catalog import PLAIN_SQL, credit, joined, ptx, query, tip, totals, utxo
+from .scratch import exact
 
 # --- attribution and coin sets
 
@@ -135,11 +136,11 @@ def masternode_health(L):
   FROM (SELECT (SELECT CAST(coalesce(sum(value), 0) AS BIGINT) FROM unspent) AS transparent, (SELECT CAST(greatest(coalesce(-sum(value_balance), 0), 0) AS BIGINT) FROM tx) AS shielded)""")
 def shield_supply(L):
     """Unspent outputs, and the shielded pool: what went in (a negative balance) less what came out, never below 0."""
-    t = J.unspent(L.out, L.inp).agg(F.coalesce(wide("value"), F.lit(0)).cast("long").alias("transparent"))
-    s = L.tx.agg(F.greatest(F.coalesce(-wide("value_balance"), F.lit(0)), F.lit(0)).cast("long").alias("shielded"))
+    t = J.unspent(L.out, L.inp).agg(F.coalesce(wide("value"), F.lit(0)).cast("decimal(37,0)").alias("transparent"))
+    s = L.tx.agg(F.greatest(F.coalesce(-wide("value_balance"), F.lit(0)), F.lit(0)).cast("decimal(37,0)").alias("shielded"))
     total = F.col("transparent") + F.col("shielded")
     pct = F.when(total == 0, 0.0).otherwise(F.round(F.col("shielded").cast("double") * 100.0 / total.cast("double"), 6))
-    return t.crossJoin(s).select(total.alias("total"), "transparent", "shielded", pct.alias("shielded_pct"))  # one row each
+    return exact(t.crossJoin(s).select(total.alias("total"), "transparent", "shielded", pct.alias("shielded_pct")), "total", "transparent", "shielded")  # one row each
 
 
 @query(f"""SELECT arg_max(cycle, cycle) AS last_cycle, arg_max(total, cycle) AS last_total, round(CAST(sum(total) AS DOUBLE) / count(*), 6) AS mean_total FROM (
@@ -158,7 +159,7 @@ _SHARES = ", ".join(f"round(CAST(w.{c} AS DOUBLE) * 100.0 / CAST(d.denominator A
 def wealth_overview(L):
     """Shares of the largest holders in the supply, in which a cold-staked coin counts once; Gini and Nakamoto; one row."""
     pct = lambda c: F.round(F.col(c).cast("double") * 100.0 / F.col("denominator").cast("double"), 6).alias(f"{c}_pct")
-    s = V.top_shares(totals(L)).crossJoin(C.OPERATORS["supply_denominator"](L)).select("holders", *(pct(c) for c in ("top10", "top50", "top100", "top1000")))
+    s = V.top_shares(totals(L)).crossJoin(C.denominator(L)).select("holders", *(pct(c) for c in ("top10", "top50", "top100", "top1000")))
     return s.crossJoin(V.gini(totals(L)).select("gini")).crossJoin(V.nakamoto(totals(L)).select("nakamoto"))  # one row each
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,18 @@ def clear(spark: SparkSession) -> None:
     _remove(spark, own_dir(spark))
 
 
+def exact(rows: DataFrame, *totals: str) -> DataFrame:
+    """A small result with its exact DECIMAL totals as BIGINT, if all of them fit, else as they are.
+
+    Sums over a whole ledger outgrow 64 bits at some size; the result is written once, as its type depends on it.
+    """
+    done = written(rows, False)
+    beyond = F.lit(False)
+    for c in totals:
+        beyond = beyond | (F.col(c).isNotNull() & F.col(c).try_cast("long").isNull())
+    return done.withColumns({c: F.col(c).cast("long") for c in totals}) if done.where(beyond).isEmpty() else done
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that `written` gave back, once what was made of them is written too."""
     for table in tables:
