@@ -184,6 +184,12 @@ class Store:
             found = df if found is None else found.unionByName(df)
         return self.spark.createDataFrame([], schema) if found is None else found
 
+    def rows_of(self, runs: list[Run], schema) -> DataFrame:
+        """The rows of whole runs without buckets, however many, in one scan."""
+        if not runs:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{r.path}" for r in runs))
+
     def merged(self, runs: list[Run], schema, key: str | None = None, dated: bool = False, better=None) -> list[Run]:
         """The runs, with young ones merged if they are many; `better` may thin out the rows that are merged."""
         if len(runs) <= self.most_runs:

@@ -3,7 +3,7 @@
 Holders lie in ranges by balance, equal ones by address from the last to the first, each a folder of at most `bound` rows with its number of holders, its sum
 and its sum of balances times their places in the range. A batch reads the old balances of its addresses from the
 buckets that they name, and rewrites only those ranges that somebody leaves or enters; a range that grows beyond the
-bound is cut by a sample of its own rows. What a report needs of the other ranges stands in the commit.
+bound is cut into pieces of half of it. What a report needs of the other ranges stands in the commit.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 import uuid
 from dataclasses import replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +24,31 @@ BALANCES = "address string, balance long, height long"
 RANKS = "address string, x long"
 
 
+def _placer(bounds: list[tuple[int, str]]):
+    """A function of columns (x, address): how many of the ranges' lower bounds, given in order, a holder has reached.
+
+    Bounds are few against holders and looked up by bisection, so the work doesn't grow with their number.
+    """
+    if not bounds:
+        return lambda x, address: F.lit(0)
+    lows, names = np.array([b[0] for b in bounds], dtype=np.int64), [b[1] for b in bounds]
+
+    @F.pandas_udf("int")
+    def place(x: pd.Series, address: pd.Series) -> pd.Series:
+        lo, hi = (np.searchsorted(lows, x.to_numpy(np.int64), side) for side in ("left", "right"))
+        tied = np.flatnonzero(lo < hi)  # bounds of the same balance lie by address from the last to the first
+        found = lo.astype(np.int32)
+        for k in tied:
+            a, b, own = lo[k], hi[k], address.iat[k]
+            while a < b:
+                m = (a + b) // 2
+                a, b = (m + 1, b) if names[m] >= own else (a, m)
+            found[k] = a
+        return pd.Series(found)
+
+    return place
+
+
 class WealthState:
     """Balances and ranges under `root`. A range's Run has its lower bound and sums in `extra`."""
 
@@ -78,35 +105,28 @@ class WealthState:
     def _moved(self, was: Commit, moved: DataFrame) -> list[Run]:
         """The ranges after moved(address, old, new); a balance of 0 or less is in none."""
         ranges = was.runs("ranks")
-        # The lower bounds of all ranges but the first, in order: a number for each `bound` holders.
-        bounds = F.array(*(F.struct(F.lit(r.extra["x"]).cast("long").alias("x"), F.lit(r.extra["address"]).alias("address")) for r in ranges[1:])) if len(ranges) > 1 else None
-
-        def placed(x: str) -> DataFrame:
-            rows = moved.where(F.col(x) > 0).select("address", F.col(x).alias("x"))
-            begun = lambda b: (b["x"] < F.col("x")) | ((b["x"] == F.col("x")) & (b["address"] >= F.col("address")))
-            return rows.withColumn("i", F.lit(0) if bounds is None else F.size(F.filter(bounds, begun)))
-
-        leaving, arriving = placed("old"), placed("new")
+        at = _placer([(r.extra["x"], r.extra["address"]) for r in ranges[1:]])
+        placed = lambda x: moved.where(F.col(x) > 0).select("address", F.col(x).alias("x")).withColumn("i", at("x", "address"))
+        leaving, arriving = written(placed("old"), False), written(placed("new"), False)
         touched = sorted(r[0] for r in leaving.unionByName(arriving).select("i").distinct().collect())  # at most as many as there are ranges
         if not touched:
             return ranges
         rows = arriving
-        for i in touched:
-            if i < len(ranges):
-                stay = self.spark.read.schema(RANKS).parquet(f"{self.store.root}/{ranges[i].path}").withColumn("i", F.lit(i))
-                rows = rows.unionByName(stay.join(leaving.where(F.col("i") == i).select("address"), "address", "left_anti"))
+        if ranges:  # all touched ranges are one table: the plan is of the same size however many they are
+            stay = self.store.rows_of([ranges[i] for i in touched], RANKS).withColumn("i", at("x", "address"))
+            rows = rows.unionByName(stay.join(leaving.select("address"), "address", "left_anti"))
         rows = written(rows, False)
-        size = {r.i: r.n for r in rows.groupBy("i").agg(F.count("*").alias("n")).collect()}
-        large = [i for i, n in size.items() if n > self.bound]
-        whole = rows.where(~F.col("i").isin(large)).withColumn("piece", F.lit(0)) if large else rows.withColumn("piece", F.lit(0))
-        whole = whole.repartition("i")
-        if large:
-            n = sum(-(-2 * size[i] // self.bound) for i in large)  # half full on average
-            parts = rows.where(F.col("i").isin(large)).repartitionByRange(max(2, n), "i", "x", F.desc("address"))
-            whole = whole.unionByName(parts.withColumn("piece", F.spark_partition_id()))
+        discard(leaving, arriving)
+        size = rows.groupBy("i").agg(F.count("*").alias("n"))
+        of = lambda c: rows.join(F.broadcast(size.where(c).select("i")), "i", "left_semi").select("i", "address", "x")  # noqa: E731  a row for each range
+        whole = of(F.col("n") <= self.bound).repartition("i").withColumn("piece", F.lit(0).cast("long"))
+        # Too large ones are cut where they lie in order: by a row's place in its task, so a piece is at most half full.
+        sorted_ = of(F.col("n") > self.bound).repartitionByRange("i", "x", F.desc("address")).sortWithinPartitions("i", "x", F.desc("address"))
+        pieces = sorted_.withColumn("piece", F.floor(F.monotonically_increasing_id() / F.lit(max(1, self.bound // 2))) + 1)
+        whole = whole.unionByName(pieces)
         path = f"data/{uuid.uuid4().hex}"
         whole.write.partitionBy("i", "piece").parquet(f"{self.store.root}/{path}")
-        back = self.spark.read.schema(f"{RANKS}, i int, piece int").parquet(f"{self.store.root}/{path}")
+        back = self.spark.read.schema(f"{RANKS}, i int, piece long").parquet(f"{self.store.root}/{path}")
         place = F.row_number().over(W.partitionBy("i", "piece").orderBy("x", F.desc("address")))
         big = lambda c: F.sum(c.cast("decimal(38,0)"))
         stats = back.withColumn("r", place).groupBy("i", "piece").agg(
@@ -128,7 +148,7 @@ class WealthState:
     # --- reports
 
     def rows(self, ranges: list[Run]) -> DataFrame:
-        return self.store.rows(ranges, RANKS).select("address", F.col("x").alias("balance"))
+        return self.store.rows_of(ranges, RANKS).select("address", F.col("x").alias("balance"))
 
     def ranges(self) -> list[Run]:
         return self.store.read().runs("ranks")

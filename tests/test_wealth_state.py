@@ -63,3 +63,19 @@ def test_nobody(spark, tmp_path):
     assert made.totals() == (0, 0) and made.nakamoto() == 0 and made.ranges() == []
     made.apply(spark.createDataFrame([("b", 4)], "address string, delta long"), 2, 2)
     assert made.totals() == (1, 4) and made.nakamoto() == 1
+
+
+def test_many_ranges_are_one_scan(spark, tmp_path, monkeypatch):
+    """A batch that enters every one of many ranges, many of equal balances, reads them together: a plan of bounded size."""
+    made, reads = WealthState(spark, str(tmp_path), 4), []
+    balances = {f"a{k:04}": 1 + k // 40 for k in range(400)}
+    made.apply(spark.createDataFrame(list(balances.items()), "address string, delta long"), 0, 0)
+    n = len(made.ranges())
+    assert n >= 100
+    whole = type(made.store).rows_of
+    monkeypatch.setattr(type(made.store), "rows_of", lambda self, runs, schema: reads.append(len(runs)) or whole(self, runs, schema))
+    more = {f"a{k:04}x": 1 + k // 40 for k in range(400)}
+    made.apply(spark.createDataFrame(list(more.items()), "address string, delta long"), 1, 1)
+    assert len(reads) == 1 and reads[0] > n // 2
+    monkeypatch.undo()
+    same(spark, made, balances | more, 4)
