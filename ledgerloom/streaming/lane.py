@@ -148,6 +148,8 @@ class Lane:
         lo = was.watermark + 1
         here = block.where(F.col("height").between(lo, reached)).select("height", "date")
         outs = now.select("txid", "height", "ty", F.inline("outs")).where("height >= 0")
+        # The lowest height whose day's columns are not computed yet.
+        open_ = min(lo, max((r.hi for r in was.runs("window")), default=-1) + 1)
 
         def sums() -> dict:
             ins = now.select("txid", F.inline("ins"))
@@ -170,15 +172,14 @@ class Lane:
             facts = won.unionByName(paid.select("height", "date", F.lit("a").alias("kind"), F.col("address").alias("name")))
             made = self._together(
                 lambda: {"seen": self.seen.add(was.runs("seen"), paid, lo, reached, 2 * outputs)},
-                lambda: {"facts": self._kept(was.runs("facts") + self.store.write(facts, lo, reached, dated=True), block, reached)},
+                lambda: {"facts": self._kept(was.runs("facts") + self.store.write(facts, lo, reached, dated=True), block, reached, open_)},
             )
             discard(paid)
             return made
 
         made = self._together(sums, people, lambda: {"outpoints": self.outpoints.add(was.runs("outpoints"), outs, lo, reached, outputs)})
         if reached // self.every != max(was.watermark, 0) // self.every:
-            seen_to = max((r.hi for r in was.runs("window")), default=-1)
-            made["window"] = self._window(was.runs("window"), made, block.where(F.col("height") <= reached), chain, min(lo, seen_to + 1), reached)
+            made["window"] = self._window(was.runs("window"), made, block.where(F.col("height") <= reached), chain, open_, reached)
         return made
 
     def _together(self, *parts) -> dict:
@@ -186,18 +187,21 @@ class Lane:
         with ThreadPoolExecutor(len(parts)) as pool:
             return {name: runs for made in [pool.submit(inheritable_thread_target(self.spark)(p)) for p in parts] for name, runs in made.result().items()}
 
-    def _kept(self, facts: list, block: DataFrame, reached: int) -> list:
-        """Facts of days that a rewind or the next batches may still ask for."""
+    def _kept(self, facts: list, block: DataFrame, reached: int, open_: int) -> list:
+        """Facts of days that a rewind, the next batches or columns not computed from height open_ on may still ask for."""
         if len(facts) <= self.store.most_runs:
             return facts
         day = F.date_sub(F.min(F.to_date("date")), self.back + 2)
-        oldest = block.where(F.col("height").between(reached - self.max_reorg, reached)).agg(F.date_format(day, "yyyy-MM-dd")).first()[0]
+        oldest = block.where(F.col("height").between(min(reached - self.max_reorg, open_ - 1), reached)).agg(F.date_format(day, "yyyy-MM-dd")).first()[0]
         return self.store.merged([r for r in facts if r.last is None or r.last >= oldest], FACTS, dated=True)
 
     def _window(self, window: list, made: dict, block: DataFrame, chain: DataFrame, lo: int, reached: int) -> list:
-        """Columns that don't add up, computed again from the day of height lo or the last days on, to `reached`."""
+        """Columns that don't add up, computed again from the last days before height lo on, to `reached`.
+
+        Side blocks up to two hours older than the tip did not count when those days were computed last.
+        """
         day = F.to_date("date")
-        start = block.agg(F.date_format(F.least(F.min(F.when(F.col("height") >= lo, day)), F.date_sub(F.max(day), self.back)), "yyyy-MM-dd")).first()[0]
+        start = block.agg(F.date_format(F.date_sub(F.min(F.when(F.col("height") >= lo - 1, day)), self.back), "yyyy-MM-dd")).first()[0]
         inside = block.where(F.col("date") >= start)
         facts = self.store.rows([r for r in made["facts"] if r.last is None or r.last >= start], FACTS).where(F.col("date") >= start)
         won = facts.where("kind = 's'").groupBy("date", F.col("name").alias("staker")).agg(F.count("*").alias("n"))

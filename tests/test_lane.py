@@ -183,3 +183,20 @@ def test_first_days_with_clocks_that_run_backwards(spark, tmp_path):
     first = lambda r: {tuple(x) for x in seen.days(r, paid([("a", "", 0), ("b", "", 0), ("c", "", 0)]).select("address")).collect()}
     assert first(runs) == {("a", "d4"), ("b", "d3"), ("c", "d7")}
     assert first(store.cut(runs, 6)) == {("a", "d4"), ("b", "d5")} and first(store.cut(runs, 2)) == {("a", "d5"), ("b", "d5")}
+
+
+def test_side_blocks_of_the_day_before_a_batch_ends(spark, ledger, feed, tmp_path):
+    """A batch ends shortly after midnight, a side block is an hour older, and the next batch begins on a later day."""
+    b = {r.height: r for r in ledger.block.where("height < 80").collect()}
+    days = {h: int(r.ntime) // 86400 for h, r in b.items()}
+    h = next(h for h in range(10, 79) if days[h] == days[h - 1] + 1 and days[h + 1] > days[h])
+    late = b[h].ntime - 5000
+    assert late // 86400 == days[h] - 1
+    side = spark.createDataFrame([("Y", f"B{h - 2}", h - 1, late, b[h].nbits, 1)], "block_hash string, prev_hash string, true_height long, ntime long, nbits long, stale int")
+    chain = ledger.chain.unionByName(side)
+    made = lane.Lane(spark, str(tmp_path), 1500, every=1)
+    made.apply(feed.where(F.col("height") <= h), ledger.block, chain)
+    made.apply(feed, ledger.block, chain)
+    got = {r.date: r.orphan_blocks for r in made.series().where("orphan_blocks > 0").collect()}
+    want = {r.date: r.orphan_blocks for r in D.orphans_by_day(chain, ledger.block, lane.utc_date).collect()}
+    assert b[h - 1].date in want and got == {d: n for d, n in want.items() if d in {r.date for r in made.series().select("date").collect()}}
