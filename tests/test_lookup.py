@@ -54,3 +54,15 @@ def test_many_keys_and_none(spark, table):
     assert sorted(r.height for r in some.collect()) == heights[:37]
     assert lookup.rows_of(spark, table, asked(spark, [1]).where("false"), "block_hash").count() == 0
     assert lookup.rows_of(spark, table, asked(spark, [1]).select(F.lit(None).cast("string").alias("block_hash")), "block_hash").count() == 0
+
+
+def test_headers_alone_write_no_outputs(spark):
+    """A query of headers or events derives and writes only the base tables that it reads."""
+    from ledgerloom.plans import catalog, catalog_pages  # noqa: F401
+    from ledgerloom.sources.ledger import Ledger
+
+    made = Ledger(spark, "/root/testdata/sf0.001", stored=("tx", "block", "out", "inp"))
+    assert catalog.OPERATORS["contiguity_check"](made).first().complete and set(made.views) == {"tx", "block"}
+    made = Ledger(spark, "/root/testdata/sf0.001", stored=("tx", "block", "out", "inp"))
+    assert catalog.OPERATORS["latency_alerts"](made).count() >= 0 and not made.views
+    assert made.inp.count() > 0 and all(hasattr(made.views[name], "_scratch_folder") for name in ("tx", "out", "inp"))
