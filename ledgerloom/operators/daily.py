@@ -109,13 +109,18 @@ def winners(won: DataFrame) -> DataFrame:
     return ranked.groupBy("date").agg(F.count("*").alias("unique_stakers"), F.sum(F.when(F.col("r") <= 10, F.col("n")).otherwise(0)).alias("top10_blocks"))
 
 
+def _dated(credit: DataFrame, block: DataFrame) -> DataFrame:
+    return credit if "date" in credit.columns else credit.join(block.select("height", "date"), "height")
+
+
 def active_by_day(credit: DataFrame, block: DataFrame) -> DataFrame:
-    return credit.join(block.select("height", "date"), "height").select("date", "address").distinct().groupBy("date").agg(F.count("*").alias("active_addresses"))
+    return _dated(credit, block).select("date", "address").distinct().groupBy("date").agg(F.count("*").alias("active_addresses"))
 
 
 def new_by_day(credit: DataFrame, block: DataFrame) -> DataFrame:
-    first = credit.join(block.select("height", "date"), "height").groupBy("address").agg(F.min("date").alias("date"))
-    return first.groupBy("date").agg(F.count("*").alias("new_addresses"))
+    # The least day as a date: strings would be sorted, and spilled, before they are aggregated.
+    first = _dated(credit, block).groupBy("address").agg(F.min(F.to_date("date")).alias("day"))
+    return first.groupBy(F.date_format("day", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("new_addresses"))
 
 
 def block_intervals(block: DataFrame) -> DataFrame:
@@ -169,7 +174,7 @@ def daily_series(L, utc_date) -> DataFrame:
     from .joins import credits, prevout_join
 
     ptx = per_transaction(L.tx, L.out, prevout_join(L.inp, L.out, L.tx), 1500)
-    credit = credits(L.out, L.tx)
+    credit = credits(L.out, L.tx.join(L.block.select("height", "date"), "height"))
     spine = day_sums(ptx, L.block).join(orphans_by_day(L.chain, L.block, utc_date), "date", "full")
     extra = (difficulty_by_day(L.block), stakers_by_day(L.tx, L.out, L.block), interval_stats_by_day(L.block), active_by_day(credit, L.block), new_by_day(credit, L.block))
     days = reduce(lambda a, b: a.join(b, "date", "left"), extra, spine)

@@ -33,13 +33,20 @@ def attributed(rows: DataFrame) -> DataFrame:
 
 
 def credits(out: DataFrame, tx: DataFrame) -> DataFrame:
-    """(txid, vout, value, height, ty, address) of each address that an output pays; a coinstake's output 0 pays none."""
-    return paid(out.where("kind > 0").join(tx.select("txid", "height", "ty"), "txid"))
+    """(txid, vout, value, height, ty, address) of each address that an output pays; a coinstake's output 0 pays none.
+
+    A date in tx is kept: so dated, credits need no join by height, which would move every one of them again.
+    """
+    return paid(out.where("kind > 0").join(tx.select("txid", "height", "ty", *_date(tx)), "txid"))
+
+
+def _date(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c == "date"]
 
 
 def paid(made: DataFrame) -> DataFrame:
     """credits of outputs that carry their transaction's height and type."""
-    return attributed(made.where("NOT (ty = 1 AND vout = 0)")).select("txid", "vout", "value", "height", "ty", "address")
+    return attributed(made.where("NOT (ty = 1 AND vout = 0)")).select("txid", "vout", "value", "height", "ty", "address", *_date(made))
 
 
 def debits(joined: DataFrame, tx: DataFrame) -> DataFrame:

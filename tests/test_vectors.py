@@ -128,3 +128,16 @@ def test_work_is_exact(spark):
     for r in spark.createDataFrame(rows, "nbits long").withColumn("w", S.block_work(F.col("nbits"))).collect():
         target = (r.nbits & 0xFFFFFF) << (8 * ((r.nbits >> 24) - 3))
         assert int(r.w) == (1 << 256) // (target + 1)
+
+
+def test_dated_credits_need_no_join_by_height(spark):
+    """First days of credits that carry their date: the same, by one aggregation in memory and without a join."""
+    from ledgerloom.operators import daily as D
+
+    block = spark.createDataFrame([(1, "2020-02-01"), (2, "2020-01-31"), (3, "2020-02-02")], "height long, date string")
+    credit = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("b", 1), ("c", 3)], "address string, height long")
+    dated = D.new_by_day(credit.join(block, "height"), block)
+    want = {("2020-01-31", 1), ("2020-02-01", 1), ("2020-02-02", 1)}
+    assert {tuple(r) for r in dated.collect()} == want == {tuple(r) for r in D.new_by_day(credit, block).collect()}
+    plan = D.new_by_day(spark.range(9).selectExpr("string(id) AS address", "'2020-01-01' AS date"), block)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "SortAggregate" not in plan
