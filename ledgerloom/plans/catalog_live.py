@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..sources.ledger import Ledger, utc_date
 from ..streaming import lane, live, monitor, tail, wealth_state
 from .catalog import PLAIN_SQL, credit, debit, ptx, query, tip
 from .catalog_pages import _P95, _SEEN, seen
-from .scratch import shared_dir, written
+from .scratch import exact, shared_dir, written
 
 # --- J1 to J4: the daily series kept live
 
@@ -280,4 +281,5 @@ def live_rich_list(L):
   FROM (SELECT count(*) AS holders, sum(balance) AS total FROM holders), ({PLAIN_SQL["gini"]}), ({PLAIN_SQL["nakamoto"]})""")
 def live_wealth(L):
     made = wealth_of(L)
-    return L.spark.createDataFrame([(*made.totals(), made.gini(), made.nakamoto())], "holders long, total long, gini double, nakamoto long")
+    holders, total = made.totals()
+    return exact(L.spark.createDataFrame([(holders, Decimal(total), made.gini(), made.nakamoto())], "holders long, total decimal(38,0), gini double, nakamoto long"), "total")
