@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import div
+from ..plans.scratch import written
 from ..sources.ledger import wide
+from .joins import attributed
 
 
 def address_totals(credit: DataFrame, debit: DataFrame) -> DataFrame:
@@ -22,6 +24,17 @@ def address_txs(credit: DataFrame, debit: DataFrame) -> DataFrame:
     return credit.select("address", "txid", "height").unionByName(debit.select("address", "txid", "height")).distinct()
 
 
+def touching(asked: DataFrame, made: DataFrame, spends: DataFrame) -> DataFrame:
+    """address_txs of asked(address), a bounded number of addresses: (address, txid, height).
+
+    Outputs are cut down to theirs before they meet the inputs, so neither all credits nor all debits are made.
+    """
+    theirs = attributed(made).join(F.broadcast(asked.select("address")), "address", "left_semi")
+    theirs = written(theirs.select("address", "txid", "vout", "height", "ty"), False)
+    spent = theirs.where("height >= 0").select("address", F.col("txid").alias("prev_txid"), F.col("vout").alias("prev_vout"))
+    return theirs.where("NOT (ty = 1 AND vout = 0)").select("address", "txid", "height").unionByName(spends.join(spent, ["prev_txid", "prev_vout"]).select("address", "txid", "height")).distinct()
+
+
 def utxo_table(credit: DataFrame, unspent: DataFrame) -> DataFrame:
     return credit.where("value > 0").join(unspent.select("txid", "vout"), ["txid", "vout"], "left_semi").select("address", "txid", "vout", "value", "ty", "height")
 

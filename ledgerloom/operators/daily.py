@@ -13,19 +13,21 @@ from ..sources.ledger import wide
 from .joins import previous_by_height
 
 
-def per_transaction(tx: DataFrame, out: DataFrame, joined: DataFrame, era_scale: int = 1) -> DataFrame:
+def per_transaction(tx: DataFrame, out: DataFrame, joined: DataFrame, era_scale: int = 1, of_out: tuple[Column, ...] = (), of_in: tuple[Column, ...] = ()) -> DataFrame:
     """One row per transaction with its sums, fee, rewards, treasury payout and coin age.
 
-    Outputs and inputs are aggregated by txid before they meet. The height that picks the era is height *
-    era_scale. coin_age is exact: satoshi times blocks.
+    Outputs and inputs are aggregated by txid before they meet; of_out and of_in are what else is made of them in the
+    same pass, null where there are none. joined may carry the spender's height. The height that picks the era is
+    height * era_scale. coin_age is exact: satoshi times blocks.
     """
     o = out.groupBy("txid").agg(
-        wide("value").alias("out_sum"), F.count("*").alias("n_outputs"), F.sum(F.when(F.col("kind") == 2, F.col("value")).otherwise(0)).alias("p2cs_created"), F.max((F.col("kind") == 2).cast("int")).alias("coldstake")
+        wide("value").alias("out_sum"), F.count("*").alias("n_outputs"), F.sum(F.when(F.col("kind") == 2, F.col("value")).otherwise(0)).alias("p2cs_created"), F.max((F.col("kind") == 2).cast("int")).alias("coldstake"),
+        *of_out,
     )
-    with_height = joined.join(tx.select("txid", "height"), "txid")
+    with_height = joined if "height" in joined.columns else joined.join(tx.select("txid", "height"), "txid")
     age = F.when((F.col("prev_height") >= 0) & (F.col("height") >= F.col("prev_height")), F.col("value").cast("decimal(20,0)") * (F.col("height") - F.col("prev_height")).cast("decimal(10,0)"))
     i = with_height.groupBy("txid").agg(
-        wide("value").alias("in_sum"), F.count("*").alias("with_prevout"), F.count("value").alias("resolved"), F.sum(F.when(F.col("kind") == 2, F.col("value")).otherwise(0)).alias("p2cs_spent"), F.sum(age).alias("coin_age")
+        wide("value").alias("in_sum"), F.count("*").alias("with_prevout"), F.count("value").alias("resolved"), F.sum(F.when(F.col("kind") == 2, F.col("value")).otherwise(0)).alias("p2cs_spent"), F.sum(age).alias("coin_age"), *of_in
     )
     zero = {c: F.coalesce(F.col(c), F.lit(0)).cast(t) for c, t in (("out_sum", "long"), ("n_outputs", "long"), ("p2cs_created", "long"), ("coldstake", "int"), ("in_sum", "long"), ("with_prevout", "long"), ("resolved", "long"), ("p2cs_spent", "long"), ("coin_age", "decimal(38,0)"))}
     t = with_era(tx.join(o, "txid", "left").join(i, "txid", "left").withColumns(zero).withColumn("era_height", F.col("height") * era_scale))
@@ -70,7 +72,7 @@ def _sums() -> list[Column]:
 
 
 def _by_date(ptx: DataFrame, block: DataFrame, sums: list[Column]) -> DataFrame:
-    return ptx.join(block.select("height", "date"), "height").groupBy("date").agg(*sums)
+    return _dated(ptx, block).groupBy("date").agg(*sums)
 
 
 def inline_counts(ptx: DataFrame, block: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def day_sums(ptx: DataFrame, block: DataFrame) -> DataFrame:
 
 
 def treasury_payouts(ptx: DataFrame, block: DataFrame) -> DataFrame:
-    return ptx.where("treasury > 0").join(block.select("height", "date"), "height").select("height", "date", F.col("treasury").alias("total_paid"), "n_outputs")
+    return _dated(ptx.where("treasury > 0"), block).select("height", "date", F.col("treasury").alias("total_paid"), "n_outputs")
 
 
 def difficulty_by_day(block: DataFrame) -> DataFrame:
@@ -109,8 +111,8 @@ def winners(won: DataFrame) -> DataFrame:
     return ranked.groupBy("date").agg(F.count("*").alias("unique_stakers"), F.sum(F.when(F.col("r") <= 10, F.col("n")).otherwise(0)).alias("top10_blocks"))
 
 
-def _dated(credit: DataFrame, block: DataFrame) -> DataFrame:
-    return credit if "date" in credit.columns else credit.join(block.select("height", "date"), "height")
+def _dated(rows: DataFrame, block: DataFrame) -> DataFrame:
+    return rows if "date" in rows.columns else rows.join(block.select("height", "date"), "height")
 
 
 def active_by_day(credit: DataFrame, block: DataFrame) -> DataFrame:
@@ -171,9 +173,9 @@ COUNTS = (
 
 def daily_series(L, utc_date) -> DataFrame:
     """The 25 columns per date: dates with transactions or orphans; what a date lacks is 0."""
-    from .joins import credits, prevout_join
+    from .joins import credits, resolve
 
-    ptx = per_transaction(L.tx, L.out, prevout_join(L.inp, L.out, L.tx), 1500)
+    ptx = per_transaction(L.tx, L.out, resolve(L.spends, L.made.where("height >= 0")), 1500)
     credit = credits(L.out, L.tx.join(L.block.select("height", "date"), "height"))
     spine = day_sums(ptx, L.block).join(orphans_by_day(L.chain, L.block, utc_date), "date", "full")
     extra = (difficulty_by_day(L.block), stakers_by_day(L.tx, L.out, L.block), interval_stats_by_day(L.block), active_by_day(credit, L.block), new_by_day(credit, L.block))
@@ -181,6 +183,17 @@ def daily_series(L, utc_date) -> DataFrame:
     return days.select("date", *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in COUNTS), *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("avg_difficulty", "coin_days_destroyed")))
 
 
+def chain_series(L, utc_date) -> DataFrame:
+    """daily_series' columns of the chain itself: sizes come from counts of inputs and outputs, so no input is resolved."""
+    n = lambda rows, size: rows.groupBy("height").agg((F.count("*") * size).alias("bytes"))
+    sized = n(L.made, 34).unionByName(n(L.spends, 150)).unionByName(L.block.select("height", (F.col("n_tx") * 100).alias("bytes")))
+    sizes = sized.join(L.block.select("height", "date"), "height").groupBy("date").agg(F.sum("bytes").alias("tx_bytes"))
+    spine = sizes.join(orphans_by_day(L.chain, L.block, utc_date), "date", "full")
+    days = spine.join(difficulty_by_day(L.block), "date", "left").join(interval_stats_by_day(L.block), "date", "left")
+    counts = ("blocks", "tx_bytes", "orphan_blocks", "interval_p95_secs", "interval_max_secs")
+    return days.select("date", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("avg_difficulty", F.lit(0.0)).alias("avg_difficulty"))
+
+
 def complete_days(daily: DataFrame, tip_date: DataFrame, last: int, minimum: int, slice_first: bool = True) -> DataFrame:
     """The last `last` dates without the tip's and without trailing dates of fewer than `minimum` blocks.
 

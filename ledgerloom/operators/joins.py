@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.scratch import written
+
 
 def prevout_join(inp: DataFrame, out: DataFrame, tx: DataFrame) -> DataFrame:
     """Each input with the output it spends (value, kind, addr_a, addr_b, prev_height), null where there is none.
@@ -49,9 +51,10 @@ def paid(made: DataFrame) -> DataFrame:
     return attributed(made.where("NOT (ty = 1 AND vout = 0)")).select("txid", "vout", "value", "height", "ty", "address", *_date(made))
 
 
-def debits(joined: DataFrame, tx: DataFrame) -> DataFrame:
-    """(txid, value, height, address) of each address that a resolved input spends from."""
-    return attributed(joined).join(tx.select("txid", "height"), "txid").select("txid", "value", "height", "address")
+def debits(joined: DataFrame, tx: DataFrame | None = None) -> DataFrame:
+    """(txid, value, height, address) of each address that a resolved input spends from; without tx, joined has the spender's height."""
+    rows = attributed(joined)
+    return (rows if tx is None else rows.join(tx.select("txid", "height"), "txid")).select("txid", "value", "height", "address")
 
 
 def spend_records(joined: DataFrame, tx: DataFrame) -> DataFrame:
@@ -96,14 +99,26 @@ def reconcile(a: DataFrame, b: DataFrame, minimum: int = 0) -> DataFrame:
     )
 
 
-def spent_flags(out: DataFrame, tx: DataFrame, utxo: DataFrame, totals: DataFrame) -> DataFrame:
-    """(txid, vout, spent): null for no address, height <= 0 or an unknown address; false if it is still in utxo."""
-    rows = out.join(tx.select("txid", "height"), "txid")
-    live = utxo.select("txid", "vout").distinct().withColumn("_live", F.lit(True))
-    known = totals.where("received > 0").select(F.col("address").alias("_a"))
-    one = rows.join(live, ["txid", "vout"], "left").join(known, F.col("addr_a") == F.col("_a"), "left")
-    unknown = F.col("addr_a").isNull() | (F.col("height") <= 0) | (F.col("_live").isNull() & F.col("_a").isNull())
-    return one.select("txid", "vout", F.when(unknown, None).otherwise(F.col("_live").isNull()).alias("spent"))
+def spent_flags(made: DataFrame, inp: DataFrame, *more: str) -> DataFrame:
+    """(txid, vout, *more, spent) of outputs with their height and type: null for no address, height <= 0 or an address
+    that never received a value; false if it is unspent, has a value and pays somebody.
+
+    An output that pays a value makes its own address known, where no value is negative: addresses are looked up only
+    for the others.
+    """
+    keys = inp.select(F.col("prev_txid").alias("_t"), F.col("prev_vout").alias("_v")).distinct().withColumn("_spent", F.lit(True))
+    rows = made.join(keys, (F.col("txid") == F.col("_t")) & (F.col("vout") == F.col("_v")), "left")
+    pays = F.coalesce(F.expr("kind > 0 AND value > 0 AND NOT (ty = 1 AND vout = 0)"), F.lit(False))
+    live = F.col("_spent").isNull() & pays
+    own = pays if made.where("value < 0").isEmpty() else F.lit(False)
+    asked = written(made.where("addr_a IS NOT NULL AND height > 0").where(~own).select(F.col("addr_a").alias("address")).distinct(), False)
+    received = paid(made).join(asked, "address", "left_semi").groupBy("address").agg(F.sum(F.col("value").cast("decimal(28,0)")).alias("_r"))
+    known = written(received.where("_r > 0").select(F.col("address").alias("_a")), False)
+    flag = lambda unknown: F.when(F.col("addr_a").isNull() | (F.col("height") <= 0) | unknown, None).otherwise(~live).alias("spent")
+    if known.isEmpty():
+        return rows.select("txid", "vout", *more, flag(~own & ~live))
+    looked = rows.join(known, F.col("addr_a") == F.col("_a"), "left")
+    return looked.select("txid", "vout", *more, flag(~own & ~live & F.col("_a").isNull()))
 
 
 def previous_by_height(block: DataFrame, *columns: str) -> DataFrame:

@@ -27,18 +27,29 @@ def attribution(addresses: Column, value: Column, script: Column) -> Column:
     return F.struct(kind.alias("kind"), pick(1, 0).alias("addr_a"), pick(2, 1).alias("addr_b"))
 
 
-def transaction_pages(sums: DataFrame, joined: DataFrame, spent: DataFrame, out: DataFrame, tip: DataFrame) -> DataFrame:
+def _gathered(*fields: str) -> Column:
+    owners = F.array_compact(F.array("addr_a", "addr_b")).alias("addresses")
+    return F.sort_array(F.collect_list(F.struct(*(owners if f == "addresses" else f for f in fields))))
+
+
+def vin_list() -> Column:
+    """A transaction's inputs by outpoint, each with the resolved value (null if there is none) and addresses."""
+    return _gathered("prev_txid", "prev_vout", "value", "addresses").alias("vin")
+
+
+def vout_list() -> Column:
+    """A transaction's outputs by number, each with the spent flag."""
+    return _gathered("vout", "value", "addresses", "spent").alias("vout")
+
+
+def transaction_pages(sums: DataFrame, tip: DataFrame) -> DataFrame:
     """One row per transaction: height, confirmations, fee, in_sum, out_sum, vin[] and vout[].
 
-    vin is ordered by outpoint and holds the resolved value (null if there is none) and addresses; vout is ordered by
-    number and holds the spent flag. A side without rows is an empty array. What is gathered belongs to one transaction.
+    sums are those of per_transaction with vin_list and vout_list. A side without rows is an empty array. What is
+    gathered belongs to one transaction.
     """
-    owners = F.array_compact(F.array("addr_a", "addr_b")).alias("addresses")
-    gather = lambda *fields: F.sort_array(F.collect_list(F.struct(*fields)))
-    vin = joined.groupBy("txid").agg(gather("prev_txid", "prev_vout", "value", owners).alias("vin"))
-    vout = out.join(spent, ["txid", "vout"], "left").groupBy("txid").agg(gather("vout", "value", owners, "spent").alias("vout"))
     fee = F.greatest(F.col("in_sum") + F.col("value_balance") - F.col("out_sum"), F.lit(0)).cast("long")
-    both = sums.join(vin, "txid", "left").join(vout, "txid", "left").crossJoin(F.broadcast(tip.select("tip")))  # tip is one row
+    both = sums.crossJoin(F.broadcast(tip.select("tip")))  # tip is one row
     return both.select(
         "txid", "height", S.confirmations(F.col("height"), F.col("tip")).alias("confirmations"), fee.alias("fee"), "in_sum", "out_sum",
         F.coalesce("vin", F.array()).alias("vin"), F.coalesce("vout", F.array()).alias("vout"),

@@ -13,7 +13,7 @@ from ..operators import wealth as V
 from ..sources.ledger import wide
 from ..streaming import live
 from . import catalog as C
-from .catalog import PLAIN_SQL, credit, joined, ptx, query, tip, totals, utxo
+from .catalog import PLAIN_SQL, credit, ptx, query, tip, totals, utxo
 from .scratch import exact
 
 # --- attribution and coin sets
@@ -74,7 +74,8 @@ def coin_set_options(L):
     coalesce(vin, '') AS vin, coalesce(vout, '') AS vout FROM ptx LEFT JOIN vin USING (txid) LEFT JOIN vout USING (txid)""")
 def transaction_page(L):
     """The page's nested arrays, written out as text."""
-    pages = P.transaction_pages(ptx(L), joined(L), J.spent_flags(L.out, L.tx, utxo(L), totals(L)), L.out, tip(L))
+    flagged = J.spent_flags(L.made, L.spends, "value", "kind", "addr_a", "addr_b")
+    pages = P.transaction_pages(D.per_transaction(L.tx, flagged, C.spent(L), 1500, (P.vout_list(),), (P.vin_list(),)), tip(L))
     text = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
     line = lambda *x: F.concat_ws(":", *x)
     owners = lambda x: F.array_join(x["addresses"], "|")
