@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import address as A
+from ..operators import daily as D
 from ..operators import flow
-from ..operators import wealth as V
+from ..operators import joins as J
 from ..sources import lookup
-from .catalog import credit, debit, joined, ptx, query, totals
-from .scratch import shared_dir
+from .catalog import joined, ptx, query, totals
+from .scratch import shared_dir, written
 
 _INPUTS = "SELECT j.*, CAST(row_number() OVER (PARTITION BY txid ORDER BY prev_txid, prev_vout) - 1 AS INT) AS i FROM joined j"
 #: The output that a coinstake staked: the first with two addresses, else the first with any.
@@ -51,9 +52,14 @@ FROM totals t JOIN sized s USING (address) LEFT JOIN page p USING (address), (SE
 @query(_LEVELS)
 def address_page_levels(L):
     """The second page of ten of each of the largest holders, in each level of detail, past-the-end pages too."""
-    asked = V.rich_list(totals(L)).select("address")  # 1000 addresses at most
-    rows = A.address_txs(credit(L), debit(L)).join(F.broadcast(asked), "address", "left_semi")
-    made = [A.page(rows, totals(L), ptx(L), 2, 10, level).withColumn("level", F.lit(level)) for level in ("basic", "txids", "txs")]
+    asked = written(totals(L).where("balance > 0").orderBy(F.desc("balance"), "address").limit(1000), False)
+    rows = written(A.touching(asked, L.made, L.spends), False)
+    shown = F.broadcast(J.newest_first(rows, "address", [F.desc("height"), "txid"], 2, 10).select("txid").distinct())  # ten for each address
+    ins = written(L.spends.join(shown, "txid", "left_semi"), False)
+    spent = L.made.where("height >= 0").join(F.broadcast(ins.select(F.col("prev_txid").alias("txid")).distinct()), "txid", "left_semi")
+    mine = lambda df: df.join(shown, "txid", "left_semi")
+    details = D.per_transaction(mine(L.tx), mine(L.out), J.resolve(ins, spent), 1500)
+    made = [A.page(rows, asked, details, 2, 10, level).withColumn("level", F.lit(level)) for level in ("basic", "txids", "txs")]
     flat = lambda df: df.withColumn("txids", F.array_join(F.col("txids").cast("array<string>"), ",")).withColumn("transactions", F.array_join("transactions", ","))
     return flat(made[0].unionByName(made[1]).unionByName(made[2]))
 
