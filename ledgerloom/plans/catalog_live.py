@@ -22,8 +22,7 @@ from .scratch import exact, shared_dir, written
 @Ledger.view
 def blocks_feed(L: Ledger) -> DataFrame:
     """The ledger's transactions as a feed brings them, written in the order of heights."""
-    rows = lane.feed(L.tx, L.inp, L.out)
-    return written(rows.repartitionByRange("height").sortWithinPartitions("height"), False)
+    return written(lane.feed_by_height(L.tx, L.spends, L.made), False)
 
 
 def state_of(L: Ledger, reorg: bool = False, every: int = 1 << 40, **options) -> lane.Lane:

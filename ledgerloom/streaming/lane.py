@@ -35,6 +35,24 @@ def feed(tx: DataFrame, inp: DataFrame, out: DataFrame) -> DataFrame:
     return tx.select("txid", "height", "ty", "value_balance").join(outs, "txid", "left").join(ins, "txid", "left")
 
 
+def feed_by_height(tx: DataFrame, spends: DataFrame, made: DataFrame) -> DataFrame:
+    """feed of inputs and outputs that carry their transaction's height, dealt to ranges of heights: each row moves once.
+
+    A side without rows is an empty array.
+    """
+    none = lambda t: F.lit(None).cast(t)
+    one, two, three = F.struct("ty", "value_balance"), F.struct("vout", "value", "kind", "addr_a", "addr_b"), F.struct("prev_txid", "prev_vout")
+    types = [df.select(s.alias("s")).schema["s"].dataType for df, s in ((tx, one), (made, two), (spends, three))]
+    row = lambda df, *parts: df.select("height", "txid", *(F.coalesce(none(t), p).alias(n) if p is not None else none(t).alias(n) for n, t, p in zip(("t", "o", "i"), types, parts)))
+    rows = row(tx, one, None, None).unionByName(row(made, None, two, None)).unionByName(row(spends, None, None, three))
+    each = rows.repartitionByRange("height").groupBy("height", "txid").agg(F.first("t", True).alias("t"), F.collect_list("o").alias("outs"), F.collect_list("i").alias("ins"))
+    return each.where("t IS NOT NULL").select("txid", "height", "t.ty", "t.value_balance", "outs", "ins").sortWithinPartitions("height")
+
+
+#: A batch of fewer rows than this asks for its part of the state by a broadcast of its keys.
+FEW = 500_000
+
+
 class Outpoints:
     """Outputs keyed by the transaction's id: what a batch's inputs spend is read from the buckets that they name."""
 
@@ -47,9 +65,15 @@ class Outpoints:
         slots = slots_of(keys, "txid") if any(r.buckets > 1 for r in runs) else None
         return self.store.rows(runs, self.schema, slots)
 
-    def resolve(self, runs: list, ins: DataFrame, outs: DataFrame) -> DataFrame:
-        """Inputs (txid, prev_txid, prev_vout) with what they spend, of the state or of the batch's own outputs."""
-        known = self.lookup(runs, ins.select(F.col("prev_txid").alias("txid")))
+    def resolve(self, runs: list, ins: DataFrame, outs: DataFrame, n: int | None = None) -> DataFrame:
+        """Inputs (txid, prev_txid, prev_vout) with what they spend, of the state or of the batch's own outputs.
+
+        Where there are few inputs, n, the state is cut down to what they name before it is moved.
+        """
+        keys = ins.select(F.col("prev_txid").alias("txid"))
+        known = self.lookup(runs, keys)
+        if runs and n is not None and n < FEW:
+            known = known.join(F.broadcast(keys.distinct()), "txid", "left_semi")
         return J.resolve(ins, known.unionByName(outs.select(*known.columns)))
 
     def add(self, runs: list, outs: DataFrame, lo: int, hi: int, n: int) -> list:
@@ -63,10 +87,11 @@ class FirstSeen:
     def __init__(self, store: Store) -> None:
         self.store = store
 
-    def days(self, runs: list, addresses: DataFrame) -> DataFrame:
-        """(address, first) of those of addresses(address) that the state has."""
+    def days(self, runs: list, addresses: DataFrame, n: int | None = None) -> DataFrame:
+        """(address, first) of those of addresses(address), n rows at most if that is known, that the state has."""
         slots = slots_of(addresses, "address") if any(r.buckets > 1 for r in runs) else None
-        rows = self.store.rows(runs, SEEN, slots).join(addresses.distinct(), "address", "left_semi")
+        asked = addresses.distinct()
+        rows = self.store.rows(runs, SEEN, slots).join(F.broadcast(asked) if n is not None and n < FEW else asked, "address", "left_semi")
         return rows.groupBy("address").agg(F.min("date").alias("first"))
 
     def add(self, runs: list, paid: DataFrame, lo: int, hi: int, n: int) -> list:
@@ -75,7 +100,7 @@ class FirstSeen:
         before = F.min("date").over(W.partitionBy("address").orderBy("height", "date").rowsBetween(W.unboundedPreceding, -1))
         own = by.withColumn("_b", before).where("_b IS NULL OR date < _b").drop("_b")
         if runs:
-            known = self.days(runs, own.select("address"))
+            known = self.days(runs, own.select("address"), n)
             own = own.join(known, "address", "left").where("first IS NULL OR date < first")
         made = self.store.write(own.select("address", "date", "height"), lo, hi, "address", n=n)
         return self.store.merged(runs + made, SEEN, "address")
@@ -128,36 +153,40 @@ class Lane:
         new = rows.where(F.col("height") > mark).select(*columns)
         if was.runs("waiting"):
             new = new.unionByName(self.store.rows(was.runs("waiting"), self.feed_schema))
-        new = written(new.dropDuplicates(["txid"]), False)
-        count = new.groupBy("height").agg(F.count("*").alias("_n"), F.sum(F.coalesce(F.size("outs"), F.lit(0))).alias("_outs"))
+        # The date comes with the transaction: outputs and payments need no join by height.
+        new = written(new.join(block.where(F.col("height") > mark).select("height", "date"), "height", "left"), False)
+        if not new.groupBy("txid").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            all_, new = new, written(new.dropDuplicates(["txid"]), False)
+            discard(all_)
+        size = lambda c: F.sum(F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)))
+        count = new.groupBy("height").agg(F.count("*").alias("_n"), size("outs").alias("_outs"), size("ins").alias("_ins"))
         due = block.where(F.col("height") > mark).select("height", "n_tx").join(count, "height", "full")
         short = F.col("n_tx").isNotNull() & (F.coalesce("_n", F.lit(0)) < F.col("n_tx"))
-        gap, top, came, outputs = due.agg(F.min(F.when(short, F.col("height"))), F.max("height"), F.sum("_n"), F.sum("_outs")).first()
+        gap, top, came, outputs, inputs = due.agg(F.min(F.when(short, F.col("height"))), F.max("height"), F.sum("_n"), F.sum("_outs"), F.sum("_ins")).first()
         if not came:
             discard(new)
             return
         reached = max(mark, top if gap is None else gap - 1)
-        tables = {"waiting": self.store.write(new.where(F.col("height") > reached), reached + 1, top)}
+        tables = {"waiting": self.store.write(new.where(F.col("height") > reached).select(*columns), reached + 1, top)}
         if reached > mark:
-            tables |= self._advanced(was, new.where(F.col("height") <= reached), block, chain, reached, outputs)
+            tables |= self._advanced(was, new.where(F.col("height") <= reached), block, chain, reached, outputs, inputs)
         self.store.commit(was, reached, tables)
         discard(new)
 
-    def _advanced(self, was: Commit, now: DataFrame, block: DataFrame, chain: DataFrame, reached: int, outputs: int) -> dict:
+    def _advanced(self, was: Commit, now: DataFrame, block: DataFrame, chain: DataFrame, reached: int, outputs: int, inputs: int) -> dict:
         """The tables with the batch in them. What doesn't need each other is written at the same time."""
         lo = was.watermark + 1
-        here = block.where(F.col("height").between(lo, reached)).select("height", "date")
-        outs = now.select("txid", "height", "ty", F.inline("outs")).where("height >= 0")
+        outs = now.select("txid", "height", "ty", "date", F.inline("outs")).where("height >= 0")
         # The lowest height whose day's columns are not computed yet.
         open_ = min(lo, max((r.hi for r in was.runs("window")), default=-1) + 1)
 
         def sums() -> dict:
-            ins = now.select("txid", F.inline("ins"))
-            ptx = D.per_transaction(now.drop("outs", "ins"), outs, self.outpoints.resolve(was.runs("outpoints"), ins, outs), self.era_scale)
-            ptx = written(ptx, False)
+            ins = now.select("txid", "height", F.inline("ins"))
+            ptx = D.per_transaction(now.drop("outs", "ins"), outs, self.outpoints.resolve(was.runs("outpoints"), ins, outs, inputs), self.era_scale)
+            ptx = written(ptx.where("date IS NOT NULL"), False)
             old = self.store.rows(was.runs("daily"), DAILY)
-            both = old.unionByName(day_deltas(ptx, here)).groupBy("date").agg(*(F.sum(c).cast("double" if c == "coin_days_destroyed" else "long").alias(c) for c in ADDITIVE))
-            payouts = D.treasury_payouts(ptx, here).select("height", "date", "total_paid", F.col("n_outputs").cast("long").alias("n_outputs"))
+            both = old.unionByName(day_deltas(ptx, block)).groupBy("date").agg(*(F.sum(c).cast("double" if c == "coin_days_destroyed" else "long").alias(c) for c in ADDITIVE))
+            payouts = D.treasury_payouts(ptx, block).select("height", "date", "total_paid", F.col("n_outputs").cast("long").alias("n_outputs"))
             made = self._together(
                 lambda: {"daily": self.store.write(both, 0, reached)},
                 lambda: {"treasury": self.store.merged(was.runs("treasury") + self.store.write(payouts, lo, reached), TREASURY)},
@@ -166,9 +195,10 @@ class Lane:
             return made
 
         def people() -> dict:
-            paid = written(J.paid(outs).join(here, "height").select("address", "date", "height").distinct(), False)
-            first = outs.where("ty = 1 AND addr_a IS NOT NULL").groupBy("txid", "height").agg(F.min_by("addr_a", "vout").alias("name"))
-            won = first.join(here, "height").select("height", "date", F.lit("s").alias("kind"), "name")
+            dated = outs.where("date IS NOT NULL")
+            paid = written(J.paid(dated).select("address", "date", "height").distinct(), False)
+            first = dated.where("ty = 1 AND addr_a IS NOT NULL").groupBy("txid", "height", "date").agg(F.min_by("addr_a", "vout").alias("name"))
+            won = first.select("height", "date", F.lit("s").alias("kind"), "name")
             facts = won.unionByName(paid.select("height", "date", F.lit("a").alias("kind"), F.col("address").alias("name")))
             made = self._together(
                 lambda: {"seen": self.seen.add(was.runs("seen"), paid, lo, reached, 2 * outputs)},

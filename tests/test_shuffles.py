@@ -50,3 +50,14 @@ def test_spent_flags_of_outputs_that_pay_nothing(spark):
     rows = lambda m: {(r.txid, r.vout): r.spent for r in J.spent_flags(spark.createDataFrame(m, MADE), inp).collect()}
     assert rows(made[:-2]) == want
     assert rows(made) == want | {(6, 0): None, (6, 1): None}
+
+
+def test_feed_by_height_is_the_feed(ledger):
+    """The lane's feed moves each row once, to its range of heights, and holds what feed holds."""
+    from ledgerloom.streaming import lane
+
+    mine = lane.feed_by_height(ledger.tx, ledger.spends, ledger.made)
+    assert moves(mine) == 0
+    rows = lambda df: {r.txid: (r.height, r.ty, r.value_balance, sorted(r.outs or [], key=str), sorted(r.ins or [], key=str)) for r in df.collect()}
+    got, want = mine.collect(), rows(lane.feed(ledger.tx, ledger.inp, ledger.out))
+    assert len(got) == len(want) and rows(mine) == want
