@@ -13,6 +13,8 @@ from ..plans.scratch import discard, written
 
 #: Pointer doubling ends within this many rounds, unless the links form a cycle.
 _MOST_ROUNDS = 64
+#: So many doublings of sums pass a trillion blocks, and in a cycle end before the sums overflow.
+_MOST_DOUBLINGS = 40
 
 
 def _followed(now: DataFrame) -> DataFrame:
@@ -23,22 +25,61 @@ def _followed(now: DataFrame) -> DataFrame:
     return now.where("up IS NULL").unionByName(moved)
 
 
-def cumulative_work(chain: DataFrame) -> DataFrame:
-    """(block_hash, prev_hash, height, work) of all blocks that reach a block without prev_hash, by pointer doubling.
+def _doubled(now: DataFrame) -> DataFrame:
+    """now with each block's sums up to its root, by doublings of all blocks, two to a round."""
+    for _ in range(_MOST_DOUBLINGS // 2):
+        if now.where("up IS NOT NULL").isEmpty():
+            return now
+        before, now = now, written(_followed(_followed(now)), False)
+        discard(before)
+    raise ValueError("the links between blocks form a cycle")
 
-    After k doublings each block knows the sum over up to 2**k ancestors; a chain of a million blocks takes 20, two to
-    a round. A block whose ancestor is missing is left out; a cycle is an error, and so is a block whose work is not
-    defined: none of its descendants could be compared. Each round is written, so that no plan grows with the depth.
+
+def _rooted(now: DataFrame, few: int, level: int = 0) -> DataFrame:
+    """now with each block's sums up to its root: one block in eight, by its hash, is a mark at which the others stop.
+
+    Stretches between marks are short, so a few doublings reach them, each of those only that aren't there yet. The
+    marks alone, an eighth of the blocks, are taken on in the same way; at `few` blocks all are doubled.
     """
-    work = F.coalesce(block_work(F.col("nbits")), F.raise_error(F.concat(F.lit("no work is defined for the target of block "), F.col("block_hash"))).cast("decimal(38,0)"))
-    now = written(chain.select("block_hash", F.col("prev_hash").alias("up"), work.alias("work"), F.lit(1).cast("long").alias("hops")), False)
-    for _ in range(_MOST_ROUNDS):
-        if now.where("up IS NOT NULL").isEmpty():
+    n = now.count()
+    if n <= few:
+        return _doubled(now)
+    mark = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(level)), F.lit(8)) == 0
+    active = F.col("up").isNotNull() & ~mark("up")
+    for _ in range(_MOST_DOUBLINGS):
+        going = now.where(active)
+        if going.isEmpty():
             break
-        before, now = now, written(_followed(_followed(now)), False)
+        # What is pointed to is no mark.
+        above = now.where(~mark("block_hash")).select(F.col("block_hash").alias("up"), F.col("up").alias("_up"), F.col("work").alias("_w"), F.col("hops").alias("_h"))
+        summed = (F.col("work") + F.col("_w")).cast("decimal(38,0)").alias("work")
+        moved = going.join(above, "up").select("block_hash", F.col("_up").alias("up"), summed, (F.col("hops") + F.col("_h")).alias("hops"))
+        before, now = now, written(now.where(~active).unionByName(moved), False)
         discard(before)
     else:
         raise ValueError("the links between blocks form a cycle")
+    marks = written(now.where(mark("block_hash")), False)
+    if marks.count() * 2 > n:
+        return _doubled(now)
+    ends = _rooted(marks, few, level + 1)
+    above = ends.select(F.col("block_hash").alias("up"), F.col("work").alias("_w"), F.col("hops").alias("_h"))
+    rest = now.where("up IS NOT NULL").join(above, "up")
+    done = rest.select("block_hash", F.lit(None).cast(now.schema["up"].dataType).alias("up"), (F.col("work") + F.col("_w")).cast("decimal(38,0)").alias("work"), (F.col("hops") + F.col("_h")).alias("hops"))
+    rows = written(now.where("up IS NULL").unionByName(done), False)
+    discard(now, ends)
+    return rows
+
+
+def cumulative_work(chain: DataFrame, few: int = 100_000) -> DataFrame:
+    """(block_hash, prev_hash, height, work) of all blocks that reach a block without prev_hash, by pointer doubling.
+
+    After k doublings a block knows the sum over up to 2**k ancestors; of more than `few` blocks only those between
+    marks are doubled, and then the marks, so that the rows moved grow with the blocks alone. A block whose ancestor is missing is left out; a cycle is an error, and so is a block whose work is not
+    defined: none of its descendants could be compared. Each round is written, so that no plan grows with the depth.
+    """
+    work = F.coalesce(block_work(F.col("nbits")), F.raise_error(F.concat(F.lit("no work is defined for the target of block "), F.col("block_hash"))).cast("decimal(38,0)"))
+    now = written(chain.select("block_hash", F.col("prev_hash").alias("up"), work.alias("work"), F.lit(1).cast("long").alias("hops")), False)
+    now = _rooted(now, few)
     rooted = now.join(chain.select("block_hash", "prev_hash"), "block_hash")
     return rooted.select("block_hash", "prev_hash", (F.col("hops") - 1).alias("height"), "work")
 
