@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import replace
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -179,11 +180,12 @@ class WealthState:
     def nakamoto(self) -> int:
         """The fewest holders with more than half of all: sums down to the range that holds the answer, and its rows."""
         total, above, count = self.totals()[1], 0, 0
+        whole = lambda n: F.lit(Decimal(n)).cast("decimal(38,0)")  # noqa: E731  an int of Python reaches Spark as 64 bits only
         for r in reversed(self.ranges()):
             if 2 * (above + r.extra["sum"]) > total:
                 run = F.sum(F.col("balance").cast("decimal(38,0)")).over(W.orderBy(F.desc("balance"), "address"))  # one range, of bounded size
                 k = F.row_number().over(W.orderBy(F.desc("balance"), "address"))
                 rows = self.rows([r]).select(k.alias("k"), run.alias("s"))
-                return count + rows.where(2 * (F.col("s") + F.lit(above).cast("decimal(38,0)")) > F.lit(total).cast("decimal(38,0)")).agg(F.min("k")).first()[0]
+                return count + rows.where(2 * (F.col("s") + whole(above)) > whole(total)).agg(F.min("k")).first()[0]
             above, count = above + r.extra["sum"], count + r.rows
         return 0

@@ -1,10 +1,13 @@
 """Wealth kept from balance changes equals a full recomputation after every batch, and no range outgrows its bound."""
 
 import random
+from itertools import accumulate
+from types import SimpleNamespace
 
 import pytest
 
 from ledgerloom.operators import wealth as V
+from ledgerloom.plans import catalog_live
 from ledgerloom.streaming.wealth_state import WealthState
 
 
@@ -65,6 +68,20 @@ def test_nobody(spark, tmp_path):
     assert made.totals() == (1, 4) and made.nakamoto() == 1
 
 
+def test_totals_beyond_64_bits(spark, tmp_path, monkeypatch):
+    """Ranges above the one that holds the answer, and all of them together, are worth more than 64 bits hold."""
+    made, balances = WealthState(spark, str(tmp_path), 4), {f"a{k:02}": (1 << 62) + k for k in range(20)} | {"poor": 7}
+    made.apply(spark.createDataFrame(list(balances.items()), "address string, delta long"), 0, 0)
+    assert len(made.ranges()) > 4
+    total, sums = sum(balances.values()), list(accumulate(sorted(balances.values(), reverse=True)))
+    most = 1 + sum(2 * s <= total for s in sums)
+    assert made.totals() == (21, total) and made.nakamoto() == most and made.gini() == round(1 / 21, 6)
+    monkeypatch.setattr(catalog_live, "wealth_of", lambda L: made)
+    got = catalog_live.live_wealth(SimpleNamespace(spark=spark))
+    assert dict(got.dtypes)["total"] == "decimal(38,0)"
+    assert [tuple(r) for r in got.collect()] == [(21, total, round(1 / 21, 6), most)]
+
+
 def test_many_ranges_are_one_scan(spark, tmp_path, monkeypatch):
     """A batch that enters every one of many ranges, many of equal balances, reads them together: a plan of bounded size."""
     made, reads = WealthState(spark, str(tmp_path), 4), []
